@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -43,47 +44,75 @@ class _Codes(dict):
 class WordMemo:
     """Encodes texts to one flat id array with document lengths.
 
-    ``limit`` bounds the chunks that are remembered (about 250 bytes each).
+    ``limit`` bounds the chunks that are remembered (about 250 bytes each); beyond
+    it, those that have come only once are forgotten.
     """
 
-    def __init__(self, path: str, memo: bool = True, limit: int = 900_000):
+    def __init__(self, path: str, memo: bool = True, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo, self.limit = memo, limit
-        self._forget()
-
-    def _forget(self) -> None:
+        # A special token keeps apart what stands before and after it, so many
+        # chunks can be encoded at once with it between them.
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.mark_id, self.mark = max(special.items(), default=(None, None))
+        self.marks = tuple(special.values())
         self.codes = _Codes()
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.count = np.zeros(1 << 18, np.int64)
+        self.start, self.count, self.seen = (np.zeros(1 << 18, np.int64) for _ in range(3))
 
-    def _learn(self, first: int) -> None:
+    def _forget(self) -> None:
+        """Keeps the chunks that have come more than once."""
+        often = self.seen[: len(self.codes)] > 1
+        if often.sum() > self.limit // 2:
+            often[:] = False
+        kept = [chunk for chunk, keep in zip(self.codes, often.tolist(), strict=True) if keep]
+        self.codes = _Codes()
+        self.codes.update(zip(kept, range(len(kept)), strict=True))
+        starts, counts = self.start[: len(often)][often], self.count[: len(often)][often]
+        ends = np.cumsum(counts)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(starts - (ends - counts), counts)]
+        self.start[: len(kept)], self.count[: len(kept)] = ends - counts, counts
+        self.seen[:] = 0
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and each one's number."""
+        encode = self.tokenizer.encode_batch_fast
+        if self.mark and not any(m in x for x in chunks for m in self.marks):
+            joint = f" {self.mark} "
+            found = encode([joint.join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)], add_special_tokens=False)
+            flat = np.concatenate([np.array([*x.ids, self.mark_id], np.uint32) for x in found])
+            ends = np.flatnonzero(flat == self.mark_id)
+            return flat[flat != self.mark_id], np.diff(ends, prepend=-1) - 1
+        found = [x.ids for x in encode(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, at: int) -> None:
         fresh, self.codes.fresh = self.codes.fresh, []
         for i in range(0, len(fresh), 20_000):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(fresh[i : i + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total, at = int(sizes.sum()), first + i
-            while self.used + total > len(self.ids):
+            ids, sizes = self._encoded(fresh[i : i + 20_000])
+            n = len(sizes)
+            while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while at + len(found) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-            self.ids[self.used : self.used + total] = np.fromiter((y for x in found for y in x), np.uint32, total)
-            ends = np.cumsum(sizes)
-            self.start[at : at + len(found)] = self.used + ends - sizes
-            self.count[at : at + len(found)] = sizes
-            self.used += total
+            while at + n > len(self.start):
+                self.start, self.count, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.seen))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
+            self.count[at : at + n] = sizes
+            self.used += len(ids)
+            at += n
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and each text's number."""
         if not self.memo:
             found = [x.ids for x in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((y for x in found for y in x), np.uint32, int(sizes.sum())), sizes
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         if len(self.codes) > self.limit:
             self._forget()
         known = len(self.codes)
@@ -94,6 +123,7 @@ class WordMemo:
             ends[i] = len(chunks)
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         self._learn(known)
+        self.seen[: len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
         sizes = self.count[codes]
         stop = np.cumsum(sizes)
         total = int(stop[-1]) if len(stop) else 0
