@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histoloom.llm import idfiles, packing, tokens
+from histoloom.llm import chat, idfiles, media, mixing, packing, prefixhash, simhash, tokens
 from histoloom.ship import ship
 
 
@@ -24,9 +24,39 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1, capacity=2048)
 
 
+def op5_prefixhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts and of the next."""
+    return prefixhash.compare(table(spark, sf_dir, "documents"))
+
+
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference records from all conversations."""
+    return chat.preferences(chat.answers_to_compare(chat.conversations(table(spark, sf_dir, "conversations"))))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as PNG images, read back, with digests and hashes."""
+    return media.through_media(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their groups within 2 bits."""
+    return simhash.groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_idfiles": op1_idfiles,
     "op4_packing": op4_packing,
+    "op5_prefixhash": op5_prefixhash,
+    "op6_preferences": op6_preferences,
+    "op7_media": op7_media,
+    "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_preferences": chat.SQL}
