@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histoloom.llm import chat, idfiles, media, mixing, packing, prefixhash, simhash, tokens
+from histoloom.llm import chat, idfiles, licenses, media, mixing, packing, prefixhash, quality, simhash, tokens, toxicity
 from histoloom.ship import ship
 
 
@@ -19,6 +19,16 @@ def op1_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.through_files(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=2)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, label model and hashed scorer on all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in all documents that quotes a license template."""
+    return licenses.find(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Harmonic packing of all documents into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1, capacity=2048)
@@ -49,14 +59,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_idfiles": op1_idfiles,
+    "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_packing": op4_packing,
     "op5_prefixhash": op5_prefixhash,
     "op6_preferences": op6_preferences,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_preferences": chat.SQL}
