@@ -155,7 +155,8 @@ class Index:
 def scan(texts: list[str | None], index: Index, containment: float) -> list[tuple[int, str, int, float]]:
     """Text number, template, first word and share of the template found there.
 
-    Of overlapping places of one template the fullest (then the first) counts.
+    Of overlapping places of one template the fullest (then the closest, then the
+    first) counts.
     """
     words, begins = word_hashes(texts)
     shingles = shingle_hashes(words)
@@ -166,7 +167,7 @@ def scan(texts: list[str | None], index: Index, containment: float) -> list[tupl
             for at in np.flatnonzero(index.maybe[width, band][key & np.uint32(0xFFFF)]).tolist():
                 for t, offset in index.keys[width, band].get(int(key[at]), ()):
                     places.add((t, at - offset))
-    found: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    found: dict[tuple[int, int], list[tuple[float, float, int]]] = {}
     for t, at in sorted(places):
         own = index.shingles[t]
         # The text in which the place lies, and some words more on either side.
@@ -178,11 +179,12 @@ def scan(texts: list[str | None], index: Index, containment: float) -> list[tupl
         here = np.isin(own, shingles[first:last])
         share = float(here.mean())
         if share >= containment:
-            found.setdefault((text, t), []).append((share, max(first, at)))
+            tight = float(np.isin(own, shingles[max(first, at) : max(first, at) + len(own)]).mean())
+            found.setdefault((text, t), []).append((share, tight, max(first, at)))
     out = []
     for (text, t), hits in sorted(found.items()):
         taken: list[int] = []
-        for share, at in sorted(hits, key=lambda x: (-x[0], x[1])):
+        for share, _, at in sorted(hits, key=lambda x: (-x[0], -x[1], x[2])):
             if all(abs(at - x) >= len(index.shingles[t]) for x in taken):
                 taken.append(at)
                 out.append((text, index.names[t], at - int(begins[text]), share))

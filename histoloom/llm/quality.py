@@ -95,7 +95,7 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> LabelModel:
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    seen = np.array([["bg-".index(v) for v in p] for p in patterns]).reshape(len(patterns), len(LABELLERS))
+    seen = np.array([["bg-".index(v) for v in p] for p in patterns], int).reshape(len(patterns), len(LABELLERS))
     one = np.eye(3)[seen]
     good = np.where((seen == 0).any(1), 0.05, 0.95)
     model = LabelModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
