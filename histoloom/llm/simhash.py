@@ -197,7 +197,8 @@ def wide_links(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
     other bands.
     """
     keyed = nodes.select("node", "mark", "bands", F.posexplode("bands").alias("band", "key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > max_shard).select("key", F.lit(True).alias("hot"))
+    # Written, so that its size is known before the joins with it are planned.
+    hot = shared.written(keyed.groupBy("key").count().where(F.col("count") > max_shard).select("key"), "hot")
     alone = nodes.select("node", "mark", F.explode("bands").alias("key"))
     # Two branches, so that the list of bands travels only where it is needed.
     cool = alone.join(hot, "key", "left_anti").select("node", "mark", "key")
@@ -247,7 +248,8 @@ def dedup(docs: DataFrame, shingle: int = 5, radius: int = 92, max_shard: int =
     roots = shared.components(wide_links(nodes, radius, max_shard)).toDF("node", "root")
     rooted = nodes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
     named = shared.written(marked.select("doc_id", "mark").where("doc_id is not null").join(rooted, "mark").select("doc_id", "root"), "named")
-    kept = docs.join(named.where("doc_id <> root").select("doc_id").distinct(), "doc_id", "left_anti")
+    # Both grow with the corpus, so whole rows are shuffled, once, at every size.
+    kept = docs.join(named.where("doc_id <> root").select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_anti")
     repeated = named.where("doc_id = root").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept.select(docs.columns)
