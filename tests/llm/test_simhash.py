@@ -102,6 +102,38 @@ def test_dedup_keeps_one_of_a_group(spark, docs, cases, no_docs):
     assert simhash.dedup(no_docs).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@settings(deadline=None, max_examples=50)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=8), max_size=14), st.sampled_from([0.3, 0.5, 0.8]))
+def test_exact_links(sets, similarity):
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= similarity]
+    links = simhash.exact_links([np.array(sorted(s), np.uint64) for s in sets], similarity)
+    assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in every}
+    assert roots(len(sets), links) == roots(len(sets), every)
+
+
+def test_dedup_is_exact_at_the_threshold(spark):
+    r = random.Random(8)
+    rows = []
+    for g in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(200)]
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k * 2 + g % 5):
+                copy[r.randrange(200)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t, *_ in rows]
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    want = sorted(set(roots(len(rows), every)))
+    assert 40 < len(want) < 160
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for most in (2_000, 1):
+        assert sorted(x.doc_id for x in simhash.dedup(frame, max_group=most).collect()) == want
+
+
 def test_dedup_against_similarity(spark):
     r = random.Random(11)
     rows, group = [], {}
