@@ -230,14 +230,82 @@ def wide_links(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
     return rows.mapInArrow(searched, "a long, b long")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, radius: int = 92, max_shard: int = 100_000) -> DataFrame:
+def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of Jaccard similarity or more whose components are those of
+    all such pairs. A set is only held against components it is not yet in."""
+    groups: list[list[int]] = []
+    links = []
+    for i, own in enumerate(sets):
+        joined, rest = [i], []
+        for members in groups:
+            for j in members:
+                other = sets[j]
+                low, high = sorted((len(own), len(other)))
+                if low < similarity * high:
+                    continue
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= similarity * (len(own) + len(other) - both):
+                    links.append((j, i))
+                    joined += members
+                    break
+            else:
+                rest.append(members)
+        groups = [*rest, joined]
+    return links
+
+
+def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, max_group: int) -> DataFrame:
+    """Links of candidates (node, root, bands) by exact Jaccard similarity of
+    their shingle sets: a, b.
+
+    A candidate group is one task's work unless it has more than ``max_group``
+    members; then it is cut by bands.
+    """
+    large = shared.written(candidates.groupBy("root").count().where(F.col("count") > max_group).select(F.col("root").alias("large")), "large")
+    cut = F.when(F.col("large").isNotNull(), F.transform("bands", lambda b: F.xxhash64("root", b))).otherwise(F.array("root"))
+    keyed = candidates.join(large, F.col("root") == F.col("large"), "left").select("node", cut.alias("keys"))
+    # As in dedup, rows are shuffled at every size.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(keyed.hint("shuffle_merge"), "node")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).to_pylist()
+            bodies = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)).tobytes() for x in batch.column(1).to_pylist()]
+            of = [i for i, k in enumerate(keys) for _ in k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array([x for k in keys for x in k], pa.int64()), pa.array([bodies[i] for i in of], pa.binary())], names=["node", "key", "body"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, sets = None, [], []
+        ends: tuple[list, list] = [], []
+
+        def link() -> None:
+            for i, j in exact_links(sets, similarity):
+                ends[0].append(names[i])
+                ends[1].append(names[j])
+
+        for batch in batches:
+            for node, key, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != last:
+                    link()
+                    last, names, sets = key, [], []
+                names.append(node)
+                sets.append(np.frombuffer(body, np.uint64))
+        link()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
+
+    rows = texts.select("node", "text", "keys").mapInArrow(shingled, "node long, key long, body binary")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
+
+
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 100, max_shard: int = 100_000, max_group: int = 2_000) -> DataFrame:
     """``docs`` with one row, that of the smallest doc_id, of each group.
 
-    Groups are the components of links between texts of Jaccard similarity 0.8
-    or more on sets of five-word shingles, as the wide fingerprints show it: at
-    0.8 two fingerprints differ in 78 of 512 bits on average, standard deviation
-    8; the radius of 92 finds 96 % of pairs at exactly 0.8, practically all from
-    0.85, one in five at 0.7 and none to speak of below 0.6.
+    Groups are the components of links between texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more. Trees of wide fingerprints
+    find candidates: at 0.8 two fingerprints differ in 78 of 512 bits on average,
+    standard deviation 8, so the radius of 100 finds 99.7 % of pairs at exactly
+    0.8 and practically all above. Candidates, and only those, are then linked by
+    their exact similarity.
 
     Rows that share a doc_id count as one document. Rows with a null doc_id
     cannot be named and stay. Null and empty texts are equal texts. All columns
@@ -245,7 +313,9 @@ def dedup(docs: DataFrame, shingle: int = 5, radius: int = 92, max_shard: int =
     """
     marked = shared.written(wide_fingerprints(docs, shingle), "wide")
     nodes = shared.written(marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    roots = shared.components(wide_links(nodes, radius, max_shard)).toDF("node", "root")
+    near = shared.components(wide_links(nodes, radius, max_shard)).toDF("node", "root")
+    candidates = shared.written(nodes.select("node", "bands").join(near, "node"), "candidates")
+    roots = shared.components(verified(docs, candidates, shingle, similarity, max_group)).toDF("node", "root")
     rooted = nodes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
     named = shared.written(marked.select("doc_id", "mark").where("doc_id is not null").join(rooted, "mark").select("doc_id", "root"), "named")
     # Both grow with the corpus, so whole rows are shuffled, once, at every size.
