@@ -172,6 +172,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
 
 def mixed_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, each row as often as the mix takes it."""
-    taken = mix(docs, **options)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """``docs``, each row as often as the mix takes it, with its own columns."""
+    kept = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    taken = mix(kept, **options)
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -68,4 +68,5 @@ def test_copies_are_whole_rows(docs):
     plain = {(r.doc_id, r.text): r.copies for r in mixing.mix(docs).collect()}
     out = mixing.mixed_copies(docs)
     assert out.columns == docs.columns
+    assert {r["size"] for r in out.collect()} == {"clash"}
     assert out.where("doc_id = 16").count() == next(v for k, v in plain.items() if k[0] == 16)
