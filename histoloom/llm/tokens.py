@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
+STOPS = (".", ",")
 _open: dict = {}
 
 
@@ -92,20 +93,47 @@ class WordMemo:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
+    def _room(self, ids: int, codes: int) -> None:
+        while self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while codes > len(self.start):
+            self.start, self.count, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.seen))
+
     def _learn(self, at: int) -> None:
-        fresh, self.codes.fresh = self.codes.fresh, []
-        for i in range(0, len(fresh), 20_000):
-            ids, sizes = self._encoded(fresh[i : i + 20_000])
-            n = len(sizes)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while at + n > len(self.start):
-                self.start, self.count, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.seen))
+        """Ids of the chunks whose codes begin at ``at``.
+
+        A stop or comma after an ASCII letter is a piece of its own, so such a
+        chunk is put together from two that may be known.
+        """
+        codes, plain, joined = self.codes, [], []
+        fresh, codes.fresh = codes.fresh, []
+        for code, chunk in enumerate(fresh, at):
+            if chunk[-1:] in STOPS and len(chunk) > 1 and chunk[-2].isascii() and chunk[-2].isalpha():
+                joined.append((code, codes[chunk[:-1]], codes[chunk[-1]]))
+            else:
+                plain.append(code)
+        added, codes.fresh = codes.fresh, []
+        first = at + len(fresh)
+        chunks = [fresh[c - at] for c in plain] + added
+        plain += range(first, first + len(added))
+        for i in range(0, len(chunks), 20_000):
+            ids, sizes = self._encoded(chunks[i : i + 20_000])
+            self._room(len(ids), first + len(added))
+            own = np.array(plain[i : i + 20_000])
             self.ids[self.used : self.used + len(ids)] = ids
-            self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
-            self.count[at : at + n] = sizes
+            self.start[own] = self.used + np.cumsum(sizes) - sizes
+            self.count[own] = sizes
             self.used += len(ids)
-            at += n
+        if joined:
+            own, parts = np.array(joined)[:, 0], np.array(joined)[:, 1:]
+            sizes = self.count[parts].reshape(-1)
+            ends = np.cumsum(sizes)
+            total = int(ends[-1])
+            self._room(total, first + len(added))
+            self.ids[self.used : self.used + total] = self.ids[np.arange(total) + np.repeat(self.start[parts].reshape(-1) - (ends - sizes), sizes)]
+            self.count[own] = sizes.reshape(-1, 2).sum(1)
+            self.start[own] = self.used + ends.reshape(-1, 2)[:, 1] - self.count[own]
+            self.used += total
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and each text's number."""
