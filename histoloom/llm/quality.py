@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histoloom.llm import memos
+
 BAD, GOOD, NONE = "b", "g", "-"
 SYMBOLS = "#$%&*|<>{}[]~^=+\\"
 BUCKETS = 1 << 14
@@ -141,6 +143,8 @@ _shapes = _Shapes()
 def hashed(text: str | None) -> np.ndarray:
     """Buckets of a text's features: shapes of words, of pairs of words, and
     repetitions. An empty text has one bucket of its own."""
+    memos.only("shapes")
+    memos.remember("shapes", _shapes.clear)
     words = (text or "").split()
     if not words:
         return np.zeros(1, np.int64)
@@ -197,6 +201,7 @@ def fit(docs: DataFrame, sample: int = 10_000) -> Model:
     ``sample`` documents, those of the smallest hashes of doc_id and text."""
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.only("shapes")
         for batch in batches:
             found = Counter(map(votes, batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histoloom.llm import shared, tokens
+from histoloom.llm import memos, shared, tokens
 from histoloom.llm.bktree import spanning_links
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     """doc_id and 64-bit fingerprint (long, its bits as they are) of every row."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.only()
         for batch in batches:
             body = batch.column(1)
             lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -112,6 +113,7 @@ def links(marks: DataFrame, radius: int = 2, max_shard: int = 4096) -> DataFrame
     shards = cut.groupBy("key", "sub").agg(F.collect_list("mark").alias("marks")).where(F.size("marks") > 1).select("marks")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.only()
         for batch in batches:
             ends: tuple[list, list] = [], []
             for values in batch.column(0).to_pylist():
@@ -176,6 +178,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, wide fingerprint (binary) and band keys of every row."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.only()
         for batch in batches:
             body = batch.column(1)
             lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -206,6 +209,7 @@ def wide_links(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
     rows = cool.union(cut).repartition("key").sortWithinPartitions("key")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.only()
         last, names, values = None, [], []
         ends: tuple[list, list] = [], []
 
@@ -268,6 +272,7 @@ def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: f
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(keyed.hint("shuffle_merge"), "node")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.only()
         for batch in batches:
             keys = batch.column(2).to_pylist()
             bodies = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)).tobytes() for x in batch.column(1).to_pylist()]

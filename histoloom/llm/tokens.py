@@ -18,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 
+from histoloom.llm import memos
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 STOPS = (".", ",")
 _open: dict = {}
@@ -162,6 +164,8 @@ class WordMemo:
 
 def opened(path: str, memo: bool = True) -> WordMemo:
     """One per worker process; a reused worker keeps what it has learned."""
+    memos.only("tokens")
+    memos.remember("tokens", _open.clear)
     key = path, memo
     if key not in _open:
         _open[key] = WordMemo(path, memo)

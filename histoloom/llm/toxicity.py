@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histoloom.llm import shared
+from histoloom.llm import memos, shared
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -139,7 +139,7 @@ class Model:
                 if len(word) >= n:
                     weight = max(weight, self.stems.get(word[:n], 0.0))
             got = (THREAT if word in self.threats else INSULT, weight) if weight > 0 else (_PLAIN.get(word, OTHER), 0.0)
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = got
         return got
@@ -262,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_feat
 def scores(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        memos.only()
         return pd.Series([model.score(x) for x in texts], dtype="float64")
 
     return scored(text)
