@@ -14,7 +14,9 @@ shard, and each shard's tree is built by the task that holds the shard:
 * wide fingerprints, similarity 0.8: the radius is too large for blocks (the
   expected distance is 15 % of the bits), so a shard is a band of minimal
   shingle hashes, which texts of Jaccard similarity 0.8 share in one of 16
-  bands with probability 0.9998.
+  bands with probability 0.9998. Short texts of one similarity lie at very
+  different distances, so near-dedup puts no radius between shards and the exact
+  check: all members of a shard are candidates.
 
 Equal fingerprints are merged by a pre-aggregated ``groupBy`` before anything
 else, so groups of exact copies of any size cost nothing further on.
@@ -234,6 +236,16 @@ def wide_links(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
     return rows.mapInArrow(searched, "a long, b long")
 
 
+def band_mates(nodes: DataFrame) -> DataFrame:
+    """Links that connect all ``node``s that share a band: a, b.
+
+    Each member of a band is linked to its smallest, whatever the distance.
+    """
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b")
+    return keyed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Index pairs of Jaccard similarity or more whose components are those of
     all such pairs. A set is only held against components it is not yet in."""
@@ -302,15 +314,14 @@ def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: f
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 100, max_shard: int = 100_000, max_group: int = 2_000) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 2_000) -> DataFrame:
     """``docs`` with one row, that of the smallest doc_id, of each group.
 
     Groups are the components of links between texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more. Trees of wide fingerprints
-    find candidates: at 0.8 two fingerprints differ in 78 of 512 bits on average,
-    standard deviation 8, so the radius of 100 finds 99.7 % of pairs at exactly
-    0.8 and practically all above. Candidates, and only those, are then linked by
-    their exact similarity.
+    shingles have a Jaccard similarity of 0.8 or more. All texts that share a
+    band are candidates, short ones too, and are linked by their exact
+    similarity. What can be missed are pairs without a common band: 0.02 % of
+    those at exactly 0.8, fewer above.
 
     Rows that share a doc_id count as one document. Rows with a null doc_id
     cannot be named and stay. Null and empty texts are equal texts. All columns
@@ -318,7 +329,7 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: in
     """
     marked = shared.written(wide_fingerprints(docs, shingle), "wide")
     nodes = shared.written(marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    near = shared.components(wide_links(nodes, radius, max_shard)).toDF("node", "root")
+    near = shared.components(band_mates(nodes)).toDF("node", "root")
     candidates = shared.written(nodes.select("node", "bands").join(near, "node"), "candidates")
     roots = shared.components(verified(docs, candidates, shingle, similarity, max_group)).toDF("node", "root")
     rooted = nodes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))

@@ -151,3 +151,18 @@ def test_dedup_against_similarity(spark):
     marked = simhash.wide_fingerprints(frame).withColumnRenamed("doc_id", "node")
     found = shared.components(simhash.wide_links(marked, 92, 1))
     assert {x.node: x.root for x in found.collect()} == {i: 3 * g for i, g in group.items()}
+
+
+def test_dedup_of_short_texts(spark):
+    r = random.Random(21)
+    rows = []
+    # Words of a text and words added at its end: 4 of 5, 8 of 10, 12 of 15, 40 of 50 and 4 of 6 shingles.
+    for n, more in [(8, 1), (12, 2), (16, 3), (44, 10), (8, 2)] * 30:
+        words = [f"w{r.randrange(10**6)}" for _ in range(n + more)]
+        rows += [(len(rows), " ".join(words[:n]), "en", "s", 1), (len(rows) + 1, " ".join(words), "en", "s", 1)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, *_ in rows)]
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    want = sorted(set(roots(len(rows), every)))
+    assert len(want) == 150 + 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in simhash.dedup(frame).collect()) == want
