@@ -159,28 +159,30 @@ def scan(texts: list[str | None], index: Index, containment: float) -> list[tupl
     first) counts.
     """
     words, begins = word_hashes(texts)
-    shingles = shingle_hashes(words)
-    # Places as the template's first shingle would lie.
-    places: set[tuple[int, int]] = set()
+    # Words of nothing behind the last text: its windows too begin at every word.
+    shingles = shingle_hashes(np.concatenate([words, np.zeros(max(WINDOWS) + SHINGLE, np.uint64)]))
+    # Places as the template's first shingle would lie, which may be before the
+    # text: the text is that of the window.
+    places: set[tuple[int, int, int]] = set()
     for width, band, key in band_keys(shingles):
         if (width, band) in index.keys:
-            for at in np.flatnonzero(index.maybe[width, band][key & np.uint32(0xFFFF)]).tolist():
-                for t, offset in index.keys[width, band].get(int(key[at]), ()):
-                    places.add((t, at - offset))
+            hits = np.flatnonzero(index.maybe[width, band][key & np.uint32(0xFFFF)])
+            for at, text in zip(hits.tolist(), (np.searchsorted(begins, hits, "right") - 1).tolist(), strict=True):
+                for t, offset in index.keys[width, band].get(int(key[at]), ()) if text < len(texts) else ():
+                    places.add((t, at - offset, text))
     found: dict[tuple[int, int], list[tuple[float, float, int]]] = {}
-    for t, at in sorted(places):
+    for t, at, text in sorted(places):
         own = index.shingles[t]
-        # The text in which the place lies, and some words more on either side.
-        text = int(np.searchsorted(begins, max(0, at), "right")) - 1
-        slack = len(own) // 4
+        # The place within its text, and some words more on either side.
+        slack, start = len(own) // 4, max(int(begins[text]), at)
         first, last = max(int(begins[text]), at - slack), min(int(begins[text + 1]) - SHINGLE + 1, at + len(own) + slack)
         if last <= first:
             continue
         here = np.isin(own, shingles[first:last])
         share = float(here.mean())
         if share >= containment:
-            tight = float(np.isin(own, shingles[max(first, at) : max(first, at) + len(own)]).mean())
-            found.setdefault((text, t), []).append((share, tight, max(first, at)))
+            tight = float(np.isin(own, shingles[start : min(last, start + len(own))]).mean())
+            found.setdefault((text, t), []).append((share, tight, start))
     out = []
     for (text, t), hits in sorted(found.items()):
         taken: list[int] = []

@@ -50,3 +50,15 @@ def test_find(spark, docs, no_docs):
     got = licenses.find(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((str(r.doc_id), r.license, r.word, r.share) for r in got.collect()) == [("1", "CC-BY-NC-4.0 (line)", 1, 1.0)] * 2 + [("None", "MIT (line)", 0, 1.0)]
     assert licenses.find(docs).count() == 0 and licenses.find(no_docs).count() == 0
+
+
+def test_texts_that_begin_or_end_inside_a_notice():
+    index = licenses.Index.of(licenses.TEMPLATES)
+    for name in ("MIT", "GPL-3.0", "ISC", "Apache-2.0"):
+        w = licenses.TEMPLATES[name].split()
+        for n in range(10):
+            texts = ["some words of another text", " ".join(w[n:]), "and of one more", " ".join(w[: len(w) - n])]
+            got = {(i, x) for i, x, *_ in licenses.scan(texts, index, 0.8)}
+            assert got == plain(texts, licenses.TEMPLATES, 0.8), (name, n)
+            if name == "MIT":
+                assert (1, name) in got
