@@ -27,8 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histoloom.llm import tokens
+from histoloom.llm.license_texts import WHOLE
 
 SHINGLE, BANDS, ROWS = 3, 8, 2
+#: Bits of a key that are looked up before the key itself.
+_FILTER = 18
 WINDOWS = (1, 2, 4, 8)
 
 # Wording of public license notices.
@@ -50,6 +53,81 @@ TEMPLATES = {
     "All rights reserved": "All rights reserved.",
 }
 
+_FREE = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License {}"
+_LATER = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_ONLY = "version {} as published by the Free Software Foundation."
+
+#: Notices that licenses ask for at the head of files, and short whole texts.
+#: Names are SPDX identifiers, with what tells two texts of one license apart.
+NOTICES = {
+    "BSD": TEMPLATES["BSD-3-Clause"],
+    **{f"GPL-{v}.0{k}": _FREE.format("program", "", form.format(v)) for v in "123" for k, form in (("", _LATER), (" (only)", _ONLY))},
+    **{f"AGPL-3.0{k}": _FREE.format("program", "Affero ", form.format(3)) for k, form in (("", _LATER), (" (only)", _ONLY))},
+    **{f"LGPL-{v if '.' in v else v + '.0'}{k}": _FREE.format("library", "Lesser ", form.format(v)) for v in ("2.1", "3") for k, form in (("", _LATER), (" (only)", _ONLY))},
+    "LGPL-2.0": _FREE.format("library", "Library ", _LATER.format(2)),
+    "MPL-1.1": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/',
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-0 (whole)": WHOLE["MIT"].replace(WHOLE["MIT"][WHOLE["MIT"].index(", subject to the following") : WHOLE["MIT"].index('THE SOFTWARE IS PROVIDED')], ". "),
+    "0BSD (whole)": WHOLE["ISC"].replace(WHOLE["ISC"][WHOLE["ISC"].index(", provided that") : WHOLE["ISC"].index("THE SOFTWARE IS PROVIDED")], ". "),
+}
+
+
+def _spoken(names: list[str], versions: list[str]) -> list[str]:
+    """How a license of one of these names and versions is referred to."""
+    return [form.format(n, v) for n in names for v in versions for form in ("{}, version {}", "{} v{}", "{} {}", "{1} {0}")]
+
+
+def _gnu(kind: str, short: str, versions: list[str]) -> list[str]:
+    return _spoken([f"GNU {kind}General Public License".replace("  ", " "), f"GNU {short}", short], versions) + [f"{gnu}{short}v{v}" for gnu in ("", "GNU ") for v in versions]
+
+
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+#: Names that follow "under the", "terms of the" and the like in a line.
+SPOKEN = {
+    "Apache-2.0": [*_spoken(["Apache License", "Apache Software License"], ["2.0", "2"]), "Apache 2.0 License", "Apache 2 License"],
+    "MIT": ["MIT License", "Expat License", "MIT/X11 License"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Two-Clause BSD License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "Three-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License"],
+    "BSD": ["BSD License"],
+    "ISC": ["ISC License"],
+    "GPL-2.0": _gnu("", "GPL", ["2", "2.0"]),
+    "GPL-3.0": _gnu("", "GPL", ["3", "3.0"]),
+    "AGPL-3.0": _gnu("Affero ", "AGPL", ["3", "3.0"]),
+    "LGPL-2.0": _spoken(["GNU Library General Public License"], ["2", "2.0"]),
+    "LGPL-2.1": _gnu("Lesser ", "LGPL", ["2.1"]),
+    "LGPL-3.0": _gnu("Lesser ", "LGPL", ["3", "3.0"]),
+    **{f"MPL-{v}": _spoken(["Mozilla Public License", "MPL"], [v]) for v in ("1.1", "2.0")},
+    **{f"EPL-{v}": _spoken(["Eclipse Public License", "EPL"], [v]) for v in ("1.0", "2.0")},
+    "BSL-1.0": [*_spoken(["Boost Software License"], ["1.0"]), "Boost License"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
+    "Unlicense": ["Unlicense License", "The Unlicense"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0", "Creative Commons CC0 1.0"],
+    **{f"CC-{k}-{v}": [f"CC {k} {v}", *(f"Creative Commons {kind} {x} License" for x in (v, f"{v} International", f"{v} Unported"))] for v in ("3.0", "4.0") for k, kind in _CC.items()},
+}
+
+
+def _lines() -> dict[str, str]:
+    out = {}
+    for spdx, names in SPOKEN.items():
+        out[f"{spdx} (identifier)"] = f"SPDX-License-Identifier: {spdx}"
+        for name in names:
+            for before in ("under", "under the", "under a", "terms of the"):
+                line = f"{before} {name}"
+                if len(line.replace("-", " ").replace("/", " ").split()) >= SHINGLE:
+                    out[f"{spdx} ({line})"] = line
+    del out["BSD (identifier)"]
+    return out
+
+
+#: All that the query looks for.
+KNOWN = {k: v for k, v in TEMPLATES.items() if k != "BSD-3-Clause"} | NOTICES | {f"{k} (whole)": v for k, v in WHOLE.items()} | _lines()
+
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(7)
 _PERM = _rng.integers(0, 1 << 63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,7 +201,7 @@ def band_keys(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 @dataclass
 class Index:
-    """Templates by band key; a few thousand keys, whatever the corpus."""
+    """Templates by band key; some ten thousand keys, whatever the corpus."""
 
     names: list[str]
     shingles: list[np.ndarray]
@@ -147,13 +225,37 @@ class Index:
                         keys.setdefault((w, band), {}).setdefault(int(found[at]), []).append((t, at))
         maybe = {}
         for k, found in keys.items():
-            maybe[k] = np.zeros(1 << 16, bool)
-            maybe[k][np.array(list(found)) & 0xFFFF] = True
+            maybe[k] = np.zeros(1 << _FILTER, bool)
+            maybe[k][np.array(list(found)) & ((1 << _FILTER) - 1)] = True
         return Index(names, shingles, keys, maybe)
 
 
-def scan(texts: list[str | None], index: Index, containment: float) -> list[tuple[int, str, int, float]]:
-    """Text number, template, first word and share of the template found there.
+@dataclass
+class Place:
+    """Where a text quotes a template; positions count all words of all texts."""
+
+    text: int
+    template: int
+    start: int
+    share: float
+    length: int
+    #: Of the template's first shingle, which may be before the text.
+    at: int
+    #: Words looked at.
+    words: tuple[int, int]
+
+    @property
+    def matched(self) -> float:
+        return self.share * self.length
+
+    def over(self, other: Place) -> bool:
+        """Over half of the shorter place lies in the other."""
+        ends = [x.at + x.length + SHINGLE - 1 for x in (self, other)]
+        return 2 * (min(ends) - max(self.at, other.at)) > min(self.length, other.length) + SHINGLE - 1
+
+
+def places_of(texts: list[str | None], index: Index, containment: float) -> tuple[np.ndarray, np.ndarray, list[Place]]:
+    """Word hashes, where each text begins, and the places of all templates.
 
     Of overlapping places of one template the fullest (then the closest, then the
     first) counts.
@@ -166,11 +268,11 @@ def scan(texts: list[str | None], index: Index, containment: float) -> list[tupl
     places: set[tuple[int, int, int]] = set()
     for width, band, key in band_keys(shingles):
         if (width, band) in index.keys:
-            hits = np.flatnonzero(index.maybe[width, band][key & np.uint32(0xFFFF)])
+            hits = np.flatnonzero(index.maybe[width, band][key & np.uint32((1 << _FILTER) - 1)])
             for at, text in zip(hits.tolist(), (np.searchsorted(begins, hits, "right") - 1).tolist(), strict=True):
                 for t, offset in index.keys[width, band].get(int(key[at]), ()) if text < len(texts) else ():
                     places.add((t, at - offset, text))
-    found: dict[tuple[int, int], list[tuple[float, float, int]]] = {}
+    found: dict[tuple[int, int], list[tuple[float, float, int, Place]]] = {}
     for t, at, text in sorted(places):
         own = index.shingles[t]
         # The place within its text, and some words more on either side.
@@ -182,18 +284,42 @@ def scan(texts: list[str | None], index: Index, containment: float) -> list[tupl
         share = float(here.mean())
         if share >= containment:
             tight = float(np.isin(own, shingles[start : min(last, start + len(own))]).mean())
-            found.setdefault((text, t), []).append((share, tight, start))
+            found.setdefault((text, t), []).append((share, tight, start, Place(text, t, start, share, len(own), at, (first, last + SHINGLE - 1))))
     out = []
-    for (text, t), hits in sorted(found.items()):
+    for (_, t), hits in sorted(found.items()):
         taken: list[int] = []
-        for share, _, at in sorted(hits, key=lambda x: (-x[0], -x[1], x[2])):
+        for *_, at, place in sorted(hits, key=lambda x: (-x[0], -x[1], x[2])):
             if all(abs(at - x) >= len(index.shingles[t]) for x in taken):
                 taken.append(at)
-                out.append((text, index.names[t], at - int(begins[text]), share))
-    return out
+                out.append(place)
+    return words, begins, out
+
+
+def scan(texts: list[str | None], index: Index, containment: float) -> list[tuple[int, str, int, float]]:
+    """Text number, template, first word and share of the template found there,
+    of every template."""
+    _, begins, places = places_of(texts, index, containment)
+    return [(p.text, index.names[p.template], p.start - int(begins[p.text]), p.share) for p in places]
+
+
+def license_of(name: str) -> str:
+    return name.split(" (")[0]
+
+
+def quoted(texts: list[str | None], index: Index, containment: float) -> list[tuple[int, str, int, float]]:
+    """As :func:`scan`, with one row where templates of one license overlap: that
+    of which most was found."""
+    _, begins, places = places_of(texts, index, containment)
+    kept: dict[tuple[int, str], list[Place]] = {}
+    for p in sorted(places, key=lambda p: (-p.matched, -p.share, p.start)):
+        own = kept.setdefault((p.text, license_of(index.names[p.template])), [])
+        if not any(p.over(q) for q in own):
+            own.append(p)
+    rows = [(p.text, index.names[p.template], p.start - int(begins[p.text]), p.share) for own in kept.values() for p in own]
+    return sorted(rows, key=lambda x: (x[0], x[2], x[1]))
 
 
-def find(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, templates: dict[str, str] = KNOWN, containment: float = 0.8) -> DataFrame:
     """doc_id, license, word, share: every place where a text quotes a template.
 
     ``word`` counts the text's words before it. Null and empty texts quote
@@ -208,7 +334,7 @@ def find(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
             names, body = batch.column(0).to_pylist(), batch.column(1)
             lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
             for a, b in tokens.slices(lengths.tolist(), 2_000_000):
-                rows = [(names[a + i], *rest) for i, *rest in scan(body.slice(a, b - a).to_pylist(), index, containment)]
+                rows = [(names[a + i], *rest) for i, *rest in quoted(body.slice(a, b - a).to_pylist(), index, containment)]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "license", "word", "share"])
 

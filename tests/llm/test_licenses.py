@@ -62,3 +62,23 @@ def test_texts_that_begin_or_end_inside_a_notice():
             assert got == plain(texts, licenses.TEMPLATES, 0.8), (name, n)
             if name == "MIT":
                 assert (1, name) in got
+
+
+def test_whole_texts_notices_and_variants():
+    texts = {
+        "GPL-2.0": licenses.KNOWN["GPL-2.0 (whole)"],
+        "LGPL-2.1": licenses.KNOWN["LGPL-2.1 (whole)"],
+        "CC-BY-SA-4.0": licenses.KNOWN["CC-BY-SA-4.0 (whole)"],
+        "BSD-2-Clause": licenses.KNOWN["BSD-2-Clause (whole)"],
+        "MIT": "x Licensed under the MIT License. y",
+        "Apache-2.0": "x Licensed under the Apache License 2.0 y",
+        "GPL-3.0": "Distributed under the terms of the GNU GPLv3.",
+        "AGPL-3.0": "This is free software under the GNU Affero General Public License v3.0",
+        "EPL-2.0": "Available under the Eclipse Public License 2.0",
+        "CC-BY-NC-4.0": "under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "CC-BY-ND-4.0": "Shared under CC BY-ND 4.0",
+        "Unlicense": "SPDX-License-Identifier: Unlicense",
+    }
+    got = licenses.scan(list(texts.values()), licenses.Index.of(licenses.KNOWN), 0.8)
+    for i, spdx in enumerate(texts):
+        assert spdx in {name.split(" (")[0] for k, name, *_ in got if k == i}, spdx
