@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,45 @@ def _lines() -> dict[str, str]:
 #: All that the query looks for.
 KNOWN = {k: v for k, v in TEMPLATES.items() if k != "BSD-3-Clause"} | NOTICES | {f"{k} (whole)": v for k, v in WHOLE.items()} | _lines()
 
+_GPL, _ADVERTISING = "General Public License", "all advertising materials"
+#: What a place must say, by template or license: versions and kinds that make
+#: up too few shingles to count in the share.
+NEEDS = {
+    "Apache-2.0": ["Apache License Version 2.0"],
+    **{f"GPL-{v}.0": [f"GNU {_GPL}", f"version {v}"] for v in "123"},
+    "GPL-3.0 (line)": [f"GNU {_GPL}, version 3"],
+    "AGPL-3.0": [f"GNU Affero {_GPL}", "version 3"],
+    "LGPL-2.0": [f"GNU Library {_GPL}", "version 2"],
+    "LGPL-2.1": [f"GNU Lesser {_GPL}", "version 2.1"],
+    "LGPL-3.0": [f"GNU Lesser {_GPL}", "version 3"],
+    "MPL-1.1": ["Mozilla Public License", "1.1"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
+    "EPL-1.0": ["Eclipse Public License v1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0"],
+    "GFDL-1.2": ["Free Documentation License", "version 1.2"],
+    "GFDL-1.3": ["Free Documentation License", "version 1.3"],
+    "BSD-3-Clause": ["endorse or promote"],
+    "MIT": ["deal in the Software"],
+    "MIT (whole)": ["deal in the Software", "shall be included in all copies"],
+    "MIT (line)": ["MIT License"],
+    "NCSA": ["deal with the Software"],
+    "ISC": ["provided that the above copyright notice"],
+    "CC-BY-4.0": ["Attribution 4.0"],
+    "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0"],
+    "CC-BY-NC-4.0 (line)": ["CC BY-NC 4.0"],
+    **{name: [line] for name, line in _lines().items()},
+}
+#: What it must not say.
+BARS = {
+    "BSD-2-Clause (whole)": ["endorse or promote", _ADVERTISING],
+    "BSD-3-Clause (whole)": [_ADVERTISING],
+    "GPL-3.0 (whole)": ["Remote Network Interaction"],
+    "MIT-0 (whole)": ["shall be included in all copies"],
+    "0BSD (whole)": ["provided that the above copyright notice"],
+}
+#: Wording that several licenses share.
+VAGUE = {"BSD"}
+
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(7)
 _PERM = _rng.integers(0, 1 << 63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -273,22 +313,42 @@ def places_of(texts: list[str | None], index: Index, containment: float) -> tupl
                 for t, offset in index.keys[width, band].get(int(key[at]), ()) if text < len(texts) else ():
                     places.add((t, at - offset, text))
     found: dict[tuple[int, int], list[tuple[float, float, int, Place]]] = {}
+    by_pair: dict[tuple[int, int], list[int]] = {}
     for t, at, text in sorted(places):
+        by_pair.setdefault((text, t), []).append(at)
+    for (text, t), starts in by_pair.items():
         own = index.shingles[t]
-        # The place within its text, and some words more on either side.
-        slack, start = len(own) // 4, max(int(begins[text]), at)
-        first, last = max(int(begins[text]), at - slack), min(int(begins[text + 1]) - SHINGLE + 1, at + len(own) + slack)
-        if last <= first:
+        distinct, counts = np.unique(own, return_counts=True)
+        counts = np.append(counts, 0)
+        begin, end = int(begins[text]), int(begins[text + 1]) - SHINGLE + 1
+        slack = len(own) // 4
+        low, high = max(begin, starts[0] - slack), min(end, starts[-1] + len(own) + slack)
+        if high <= low:
             continue
-        here = np.isin(own, shingles[first:last])
-        share = float(here.mean())
-        if share >= containment:
-            tight = float(np.isin(own, shingles[start : min(last, start + len(own))]).mean())
-            found.setdefault((text, t), []).append((share, tight, start, Place(text, t, start, share, len(own), at, (first, last + SHINGLE - 1))))
+        # Number of each of the text's shingles among the template's.
+        near = shingles[low:high]
+        ids = np.minimum(np.searchsorted(distinct, near), len(distinct) - 1)
+        ids[distinct[ids] != near] = len(distinct)
+
+        def part(a: int, b: int) -> float:
+            """Share of the template that lies in shingles a to b of all."""
+            seen = np.zeros(len(counts), bool)
+            seen[ids[a - low : max(a, b) - low]] = True  # noqa: B023
+            return float(counts[seen].sum() / len(own))  # noqa: B023
+
+        for at in starts:
+            # The place within its text, and some words more on either side.
+            start, first, last = max(begin, at), max(begin, at - slack), min(end, at + len(own) + slack)
+            if last <= first:
+                continue
+            share = part(first, last)
+            if share >= containment:
+                tight = part(start, min(last, at + len(own)))
+                found.setdefault((text, t), []).append((share, tight, start, Place(text, t, start, share, len(own), at, (first, last + SHINGLE - 1))))
     out = []
     for (_, t), hits in sorted(found.items()):
         taken: list[int] = []
-        for *_, at, place in sorted(hits, key=lambda x: (-x[0], -x[1], x[2])):
+        for *_, at, place in sorted(hits, key=lambda x: (-x[0], -x[1], abs(x[3].at - x[2]), x[2])):
             if all(abs(at - x) >= len(index.shingles[t]) for x in taken):
                 taken.append(at)
                 out.append(place)
@@ -306,21 +366,52 @@ def license_of(name: str) -> str:
     return name.split(" (")[0]
 
 
+def _says(words: np.ndarray, phrase: np.ndarray) -> bool:
+    n = len(words) - len(phrase) + 1
+    return n > 0 and bool(np.logical_and.reduce([words[i : n + i] == x for i, x in enumerate(phrase)]).any())
+
+
+@cache
+def _phrase(text: str) -> np.ndarray:
+    return word_hashes([text])[0]
+
+
 def quoted(texts: list[str | None], index: Index, containment: float) -> list[tuple[int, str, int, float]]:
-    """As :func:`scan`, with one row where templates of one license overlap: that
-    of which most was found."""
-    _, begins, places = places_of(texts, index, containment)
+    """As :func:`scan`, with one row a place.
+
+    A place counts if its text says what tells the license from its siblings
+    (``NEEDS``, ``BARS``). Where templates of one license overlap, that of which
+    most was found counts. Where licenses do, the highest share counts (then the
+    longer match), but a template of over twice the length goes before the lines
+    in it, and ``VAGUE`` licenses only count where no other does.
+    """
+    words, begins, places = places_of(texts, index, containment)
     kept: dict[tuple[int, str], list[Place]] = {}
+    best: dict[int, float] = {}
     for p in sorted(places, key=lambda p: (-p.matched, -p.share, p.start)):
-        own = kept.setdefault((p.text, license_of(index.names[p.template])), [])
-        if not any(p.over(q) for q in own):
+        name = index.names[p.template]
+        here = words[slice(*p.words)]
+        if not all(_says(here, _phrase(x)) for x in NEEDS.get(name, NEEDS.get(license_of(name), ()))) or any(_says(here, _phrase(x)) for x in BARS.get(name, ())):
+            continue
+        own = kept.setdefault((p.text, license_of(name)), [])
+        same = [q for q in own if p.over(q)]
+        if not same:
             own.append(p)
-    rows = [(p.text, index.names[p.template], p.start - int(begins[p.text]), p.share) for own in kept.values() for p in own]
+        for q in same or [p]:
+            best[id(q)] = max(best.get(id(q), 0.0), p.share)
+    chosen: dict[int, list[Place]] = {}
+    for vague, p in sorted(((x in VAGUE, p) for (_, x), own in kept.items() for p in own), key=lambda x: (x[0], -x[1].matched, x[1].start)):
+        now = chosen.setdefault(p.text, [])
+        rivals = [q for q in now if p.over(q)]
+        if not rivals or not vague and all(q.length <= 2 * p.length and best[id(p)] > best[id(q)] for q in rivals):
+            chosen[p.text] = [q for q in now if q not in rivals] + [p]
+    rows = [(p.text, index.names[p.template], p.start - int(begins[p.text]), p.share) for own in chosen.values() for p in own]
     return sorted(rows, key=lambda x: (x[0], x[2], x[1]))
 
 
 def find(docs: DataFrame, templates: dict[str, str] = KNOWN, containment: float = 0.8) -> DataFrame:
-    """doc_id, license, word, share: every place where a text quotes a template.
+    """doc_id, license, word, share: every place where a text quotes a template,
+    one row a place (:func:`quoted`).
 
     ``word`` counts the text's words before it. Null and empty texts quote
     nothing; a null doc_id and repeated rows give rows of their own; other

@@ -82,3 +82,27 @@ def test_whole_texts_notices_and_variants():
     got = licenses.scan(list(texts.values()), licenses.Index.of(licenses.KNOWN), 0.8)
     for i, spdx in enumerate(texts):
         assert spdx in {name.split(" (")[0] for k, name, *_ in got if k == i}, spdx
+
+
+def test_siblings_are_told_apart():
+    known = licenses.KNOWN
+    agpl = known["GPL-3.0"].replace("GNU General", "GNU Affero General")
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    texts = [
+        (known["GPL-3.0"].replace("version 3", "version 2"), ["GPL-2.0"]),
+        (known["GPL-3.0"], ["GPL-3.0"]),
+        (agpl, ["AGPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        (known["MPL-1.1"], ["MPL-1.1"]),
+        *((cc.format(kind), [f"CC-{k}-4.0"]) for k, kind in licenses._CC.items()),
+        *((known[f"{k} (whole)"], [k]) for k in licenses.WHOLE),
+        (known["BSD-3-Clause (whole)"].replace("University", "Company"), ["BSD-3-Clause"]),
+        (known["MIT-0 (whole)"], ["MIT-0"]),
+        (known["0BSD (whole)"], ["0BSD"]),
+        (known["BSD"], ["BSD"]),
+        ("Under the MIT License. " + known["MIT (whole)"] + " Code under the Apache License 2.0.", ["MIT", "MIT", "Apache-2.0"]),
+    ]
+    got = licenses.quoted([t for t, _ in texts], licenses.Index.of(known), 0.8)
+    for i, (text, want) in enumerate(texts):
+        assert [licenses.license_of(name) for k, name, *_ in got if k == i] == want, text[:200]
