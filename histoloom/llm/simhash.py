@@ -195,19 +195,31 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.mapInArrow(marked, "doc_id long, mark binary, bands array<long>")
 
 
+def block_pairs(key: Column, node: Column, count: Column, most: int) -> Column:
+    """Keys of the tasks that a member of a group of ``count`` goes to.
+
+    Members are dealt to blocks of about ``most`` / 2, and each pair of blocks is
+    a task of about ``most`` members; so each two members meet in some task. The
+    copies of a member grow with the number of blocks.
+    """
+    blocks = F.greatest(F.lit(2), F.ceil(count / F.lit(max(1, most // 2)))).cast("long")
+    # Salted, so that the block does not hang on the partition of a node.
+    own = F.pmod(F.xxhash64(node, F.lit(17)), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: i != own)
+    return F.transform(others, lambda i: F.xxhash64(key, F.least(own, i), F.greatest(own, i)))
+
+
 def wide_links(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
     """Links between ``node``s whose fingerprints are within ``radius``: a, b.
 
-    Shards of more than ``max_shard`` members are cut once more by each of the
-    other bands.
+    Shards of more than ``max_shard`` members are cut into blocks that are held
+    against each other in pairs (:func:`block_pairs`).
     """
-    keyed = nodes.select("node", "mark", "bands", F.posexplode("bands").alias("band", "key"))
-    # Written, so that its size is known before the joins with it are planned.
-    hot = shared.written(keyed.groupBy("key").count().where(F.col("count") > max_shard).select("key"), "hot")
     alone = nodes.select("node", "mark", F.explode("bands").alias("key"))
-    # Two branches, so that the list of bands travels only where it is needed.
+    # Written, so that its size is known before the joins with it are planned.
+    hot = shared.written(alone.groupBy("key").count().where(F.col("count") > max_shard), "hot")
     cool = alone.join(hot, "key", "left_anti").select("node", "mark", "key")
-    cut = keyed.join(hot, "key").select("node", "mark", F.explode(F.transform("bands", lambda x: F.xxhash64(F.col("key"), x))).alias("key"))
+    cut = alone.join(hot, "key").select("node", "mark", F.explode(block_pairs(F.col("key"), F.col("node"), F.col("count"), max_shard)).alias("key"))
     rows = cool.union(cut).repartition("key").sortWithinPartitions("key")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +283,15 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
 
 
 def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, max_group: int) -> DataFrame:
-    """Links of candidates (node, root, bands) by exact Jaccard similarity of
+    """Links of candidates (node, root) by exact Jaccard similarity of
     their shingle sets: a, b.
 
     A candidate group is one task's work unless it has more than ``max_group``
-    members; then it is cut by bands.
+    members; then it is cut into blocks, and each two blocks are one task's
+    (:func:`block_pairs`), so that all pairs are compared at every size.
     """
-    large = shared.written(candidates.groupBy("root").count().where(F.col("count") > max_group).select(F.col("root").alias("large")), "large")
-    cut = F.when(F.col("large").isNotNull(), F.transform("bands", lambda b: F.xxhash64("root", b))).otherwise(F.array("root"))
+    large = shared.written(candidates.groupBy("root").count().where(F.col("count") > max_group).select(F.col("root").alias("large"), "count"), "large")
+    cut = F.when(F.col("large").isNotNull(), block_pairs(F.col("root"), F.col("node"), F.col("count"), max_group)).otherwise(F.array("root"))
     keyed = candidates.join(large, F.col("root") == F.col("large"), "left").select("node", cut.alias("keys"))
     # As in dedup, rows are shuffled at every size.
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(keyed.hint("shuffle_merge"), "node")
@@ -330,7 +343,7 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group:
     marked = shared.written(wide_fingerprints(docs, shingle), "wide")
     nodes = shared.written(marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
     near = shared.components(band_mates(nodes)).toDF("node", "root")
-    candidates = shared.written(nodes.select("node", "bands").join(near, "node"), "candidates")
+    candidates = shared.written(near, "candidates")
     roots = shared.components(verified(docs, candidates, shingle, similarity, max_group)).toDF("node", "root")
     rooted = nodes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
     named = shared.written(marked.select("doc_id", "mark").where("doc_id is not null").join(rooted, "mark").select("doc_id", "root"), "named")

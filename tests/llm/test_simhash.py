@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from histoloom.llm import shared, simhash
 from histoloom.llm.bktree import BKForest, spanning_links
@@ -166,3 +167,19 @@ def test_dedup_of_short_texts(spark):
     assert len(want) == 150 + 30
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in simhash.dedup(frame).collect()) == want
+
+
+def test_large_groups_are_cut_into_bounded_tasks(spark):
+    rows = [(i, " ".join(f"{'x' if k == i % 200 else 'w'}{k}" for k in range(200)), "en", "s", 1) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # One shard of a single common band: no key holds the shard, each two members share one.
+    keyed = spark.range(3000).select(F.col("id"), F.explode(simhash.block_pairs(F.lit(7).cast("long"), F.col("id"), F.lit(3000), 500)).alias("key"))
+    members = {}
+    for r in keyed.collect():
+        members.setdefault(r.key, set()).add(r.id)
+    assert max(map(len, members.values())) < 700
+    assert all(any({a, b} <= m for m in members.values()) for a in range(0, 3000, 97) for b in range(0, a, 89))
+    # Members of a large group without a common band are compared too.
+    candidates = spark.createDataFrame([(i, 0, [i * 16 + b for b in range(16)]) for i in range(200)], "node long, root long, bands array<long>")
+    found = shared.components(simhash.verified(frame, candidates, 5, 0.8, 40))
+    assert {x.node: x.root for x in found.collect()} == dict.fromkeys(range(200), 0)
