@@ -77,7 +77,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
     An empty table gives a table of no blocks.
 
     One range shuffle of the texts, with no group to hold: a task keeps a
-    block's ids and a few megabytes of text.
+    block's ids and a few megabytes of text. Ranges are of doc_id and the
+    beginning of the text, so rows of one doc_id (or of none) are cut too; only
+    rows that share both lie in one task, which streams through them.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +100,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
             key, body = batch.column(0), batch.column(1)
             lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
             for a, b in tokens.slices(lengths.tolist()):
-                texts = [x or "" for x in body.slice(a, b - a).to_pylist()]
-                ids, offsets = tokens.with_end(*memo_of.encode(texts), end_id)
+                ids, offsets = tokens.with_end(*memo_of.encode(body.slice(a, b - a)), end_id)
                 names = key.slice(a, b - a)
                 held.append((names.fill_null(0).to_numpy(zero_copy_only=False), names.is_null().to_numpy(zero_copy_only=False), np.diff(offsets), ids))
                 size += len(ids)
@@ -110,7 +111,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
 
     ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), *((x, pa.binary()) for x in ("doc_ids", "null_ids", "sizes", "ranks", "control", "data"))])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

@@ -17,11 +17,20 @@ from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from histoloom.llm import memos
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-STOPS = (".", ",")
+#: ASCII symbols but the apostrophe, which may begin a contraction.
+_SYMBOL = r"[!-&(-/:-@\[-`{-~]"
+#: Lower-case letters that no normalizing changes.
+_LETTER = "[a-zß-öø-ÿ]"
+#: What byte-level models call each byte: itself if it prints, else the next
+#: character from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) if b in _SHOWN else chr(256 + b - sum(x < b for x in _SHOWN)) for b in range(256)}
 _open: dict = {}
 
 
@@ -48,10 +57,11 @@ class WordMemo:
     """Encodes texts to one flat id array with document lengths.
 
     ``limit`` bounds the chunks that are remembered (about 250 bytes each); beyond
-    it, those that have come only once are forgotten.
+    it, the rarer ones are forgotten. Only parts of unknown chunks that are
+    unknown too are encoded.
     """
 
-    def __init__(self, path: str, memo: bool = True, limit: int = 800_000):
+    def __init__(self, path: str, memo: bool = True, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,21 +75,23 @@ class WordMemo:
         self.codes = _Codes()
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.start, self.count, self.seen = (np.zeros(1 << 18, np.int64) for _ in range(3))
+        self.start, self.count, self.seen = (np.zeros(1 << 18, np.int32) for _ in range(3))
 
     def _forget(self) -> None:
-        """Keeps the chunks that have come more than once."""
-        often = self.seen[: len(self.codes)] > 1
-        if often.sum() > self.limit // 2:
-            often[:] = False
-        kept = [chunk for chunk, keep in zip(self.codes, often.tolist(), strict=True) if keep]
-        self.codes = _Codes()
+        """Keeps the chunks that have come most often, half the limit at most."""
+        seen, least = self.seen[: len(self.codes)], 1
+        while (often := seen > least).sum() > self.limit // 2:
+            least *= 2
+        # In place, so that there are never two of them.
+        for chunk in [chunk for chunk, keep in zip(self.codes, often.tolist(), strict=True) if not keep]:
+            del self.codes[chunk]
+        kept = list(self.codes)
         self.codes.update(zip(kept, range(len(kept)), strict=True))
         starts, counts = self.start[: len(often)][often], self.count[: len(often)][often]
-        ends = np.cumsum(counts)
-        self.used = int(ends[-1]) if len(ends) else 0
-        self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(starts - (ends - counts), counts)]
-        self.start[: len(kept)], self.count[: len(kept)] = ends - counts, counts
+        ids = self.ids[_spans(starts, counts)]
+        self.used = len(ids)
+        self.ids[: self.used] = ids
+        self.start[: len(kept)], self.count[: len(kept)] = np.cumsum(counts) - counts, counts
         self.seen[:] = 0
 
     def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,71 +107,111 @@ class WordMemo:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces of plain lower-case letters or of ASCII symbols:
+        normalizing and splitting leave them as they are, so the model's merges
+        are all there is to do."""
+        shown = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES) for x in pieces]
+        found = list(map(self.tokenizer.model.tokenize, shown))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((t.id for x in found for t in x), np.uint32, int(sizes.sum())), sizes
+
     def _room(self, ids: int, codes: int) -> None:
         while self.used + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while codes > len(self.start):
             self.start, self.count, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.seen))
 
-    def _learn(self, at: int) -> None:
-        """Ids of the chunks whose codes begin at ``at``.
+    def _parts(self, chunks: list[str]) -> pa.ListArray:
+        """Each chunk's parts, that are pieces of their own wherever they stand.
 
-        A stop or comma after an ASCII letter is a piece of its own, so such a
-        chunk is put together from two that may be known.
+        Case of ASCII letters does not matter, and a run of letters ends before
+        and after every ASCII symbol but the apostrophe. Chunks that would hold a
+        special token are one part, as are those where a mark may follow an I,
+        whose dot then depends on the case.
         """
-        codes, plain, joined = self.codes, [], []
+        given = pa.array(chunks, pa.string())
+        lower = pc.ascii_lower(given)
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(lower, f"({_LETTER})({_SYMBOL})", r"\1 \2"), f"({_SYMBOL})({_LETTER})", r"\1 \2")
+        cut = pc.if_else(pc.match_substring_regex(given, r"I[^\x00-\x7f]"), given, cut)
+        for mark in self.marks:
+            cut = pc.if_else(pc.match_substring(lower, mark), given, cut)
+        return pc.split_pattern(cut, " ")
+
+    def _learn(self, at: int) -> None:
+        """Ids of the chunks whose codes begin at ``at``, put together from those
+        of their parts, which may be known."""
+        codes = self.codes
         fresh, codes.fresh = codes.fresh, []
-        for code, chunk in enumerate(fresh, at):
-            if chunk[-1:] in STOPS and len(chunk) > 1 and chunk[-2].isascii() and chunk[-2].isalpha():
-                joined.append((code, codes[chunk[:-1]], codes[chunk[-1]]))
-            else:
-                plain.append(code)
+        if not fresh:
+            return
+        lists = self._parts(fresh)
+        merged = lists.flatten().dictionary_encode()
+        parts = np.fromiter(map(codes.__getitem__, merged.dictionary.to_pylist()), np.int64, len(merged.dictionary))[merged.indices.to_numpy(zero_copy_only=False)]
         added, codes.fresh = codes.fresh, []
         first = at + len(fresh)
-        chunks = [fresh[c - at] for c in plain] + added
-        plain += range(first, first + len(added))
-        for i in range(0, len(chunks), 20_000):
-            ids, sizes = self._encoded(chunks[i : i + 20_000])
-            self._room(len(ids), first + len(added))
-            own = np.array(plain[i : i + 20_000])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[own] = self.used + np.cumsum(sizes) - sizes
-            self.count[own] = sizes
-            self.used += len(ids)
-        if joined:
-            own, parts = np.array(joined)[:, 0], np.array(joined)[:, 1:]
-            sizes = self.count[parts].reshape(-1)
-            ends = np.cumsum(sizes)
-            total = int(ends[-1])
-            self._room(total, first + len(added))
-            self.ids[self.used : self.used + total] = self.ids[np.arange(total) + np.repeat(self.start[parts].reshape(-1) - (ends - sizes), sizes)]
-            self.count[own] = sizes.reshape(-1, 2).sum(1)
-            self.start[own] = self.used + ends.reshape(-1, 2)[:, 1] - self.count[own]
-            self.used += total
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another (uint32), and each text's number."""
+        numbers = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(at, first), numbers)
+        whole = np.zeros(len(fresh), bool)  # chunks that are their own only part
+        whole[of[of == parts] - at] = True
+        own = np.concatenate([np.flatnonzero(whole) + at, np.arange(first, first + len(added))])
+        chunks = [fresh[c] for c in np.flatnonzero(whole).tolist()] + added
+        self._room(0, first + len(added))
+        simple = pc.match_substring_regex(pa.array(chunks, pa.string()), f"^(?:{_LETTER}+|{_SYMBOL}+)$").to_numpy(zero_copy_only=False)
+        for encode, some in ((self._merged, np.flatnonzero(simple)), (self._encoded, np.flatnonzero(~simple))):
+            for i in range(0, len(some), 20_000):
+                few = some[i : i + 20_000]
+                self._keep(own[few], *encode([chunks[c] for c in few.tolist()]))
+        joint = ~whole[of - at]
+        pieces = parts[joint]
+        self.seen[: first + len(added)] += np.bincount(pieces, minlength=first + len(added))
+        sizes = np.bincount(of[joint] - at, self.count[pieces], len(fresh)).astype(np.int64)
+        self._keep(np.flatnonzero(~whole) + at, self.ids[_spans(self.start[pieces], self.count[pieces])], sizes[~whole])
+
+    def _keep(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._room(len(ids), 0)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[codes] = self.used + np.cumsum(sizes) - sizes
+        self.count[codes] = sizes
+        self.used += len(ids)
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (uint32), and each text's number.
+
+        Texts are split, and equal chunks merged, by Arrow; Python sees each
+        distinct chunk of a call once. A null text counts as empty.
+        """
+        body = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.memo:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(body.to_pylist(), add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         if len(self.codes) > self.limit:
             self._forget()
         known = len(self.codes)
-        chunks: list[str] = []
-        ends = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            chunks += text.replace("\n", " ").split(" ")
-            ends[i] = len(chunks)
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        lists = pc.split_pattern(pc.replace_substring(body, "\n", " "), " ")
+        merged = lists.flatten().dictionary_encode()
+        distinct = merged.dictionary.to_pylist()
+        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
         self._learn(known)
-        self.seen[: len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
-        sizes = self.count[codes]
-        stop = np.cumsum(sizes)
-        total = int(stop[-1]) if len(stop) else 0
-        take = np.arange(total) + np.repeat(self.start[codes] - (stop - sizes), sizes)
-        at = np.concatenate([[0], stop])[ends]
-        return self.ids[take], np.diff(at, prepend=0)
+        of = merged.indices.to_numpy(zero_copy_only=False)
+        self.seen[codes] += np.bincount(of, minlength=len(distinct))
+        sizes = self.count[codes][of]
+        stop = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        out = self.ids[_spans(self.start[codes][of], sizes)], np.diff(stop[ends], prepend=0)
+        del lists, merged
+        pa.default_memory_pool().release_unused()
+        return out
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.arange(total, dtype=np.int32 if total < 1 << 31 else np.int64)
+    out += np.repeat((starts - (ends - sizes)).astype(out.dtype), sizes)
+    return out
 
 
 def opened(path: str, memo: bool = True) -> WordMemo:
@@ -172,7 +224,7 @@ def opened(path: str, memo: bool = True) -> WordMemo:
     return _open[key]
 
 
-def slices(lengths: Sequence[int], most: int = 4_000_000):
+def slices(lengths: Sequence[int], most: int = 3_000_000):
     """Ranges of consecutive texts of about ``most`` characters together."""
     first = size = 0
     for i, n in enumerate(lengths):

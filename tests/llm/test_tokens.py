@@ -37,6 +37,16 @@ def test_memo_on_any_text(whole, text):
     assert ids.tolist() == whole(text) + whole("x " + text)
 
 
+ODD = ["<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "a'", "é.", "(é", "é", "≠", "İ", "I\u0307", "\u0338", "Å", "K", " ", "\n", *"aAzZÉßøÜ'’.,-_|<>#d9½字!?\u00ad\u200d"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ODD), max_size=14).map("".join))
+def test_memo_on_cut_chunks(whole, text):
+    ids, sizes = MEMO.encode([text, None, text.upper()])
+    assert ids.tolist() == whole(text) + whole(text.upper()) and sizes[1] == 0
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1)))
 def test_variable_length_round_trip(values):
