@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histoloom.llm import tokens
@@ -143,7 +143,57 @@ def edited(points: np.ndarray, following: np.ndarray) -> np.ndarray:
 NAMES = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
 
 
-def compare(docs: DataFrame, rows_a_bucket: int = 4_000, buckets: int = 2_000) -> DataFrame:
+#: Buckets that are ever made: more tasks than a cluster runs, and few enough for
+#: one row of each to be broadcast (40 bytes).
+MOST_BUCKETS = 50_000
+
+
+def _beginning(text: Column) -> Column:
+    """A text's first seven bytes as a number, in the order of texts."""
+    start = F.hex(F.substring(F.substring(text, 1, 7).cast("binary"), 1, 7))
+    return F.conv(F.rpad(start, 14, "0"), 16, 10).cast("long")
+
+
+def bucketed(rows: DataFrame, rows_a_bucket: int) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text) with ``bucket``, ascending in the order of descending
+    doc_id (null last) and then text; and about how many buckets there are.
+
+    Quantiles of doc_id cut the ids into at most 256 stretches, each of which is
+    cut evenly by value. An id that fills a stretch alone, and the null ids, are
+    cut by how their texts begin instead.
+    """
+    count, none, low, high = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    size = max(1, rows_a_bucket, -(-count // MOST_BUCKETS))
+    parts = -(-count // size)
+    bounds: list[int] = []
+    if parts > 1 and low is not None:
+        quantiles = min(256, parts)
+        bounds = rows.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)], 10_000)).first()[0]
+    distinct = sorted(set(bounds))
+    stretch = -(-(count - none) // (len(bounds) + 1))
+    often = {x: bounds.count(x) for x in distinct if bounds.count(x) > 1}
+    fill = lambda n: float(max(1, -(-n // size)))
+    # Of 7 bytes, from the first printing character to the last ASCII one.
+    start = (_beginning(F.col("text")) - (32 << 48)) / F.lit(float(95 << 48))
+    begins = F.least(F.lit(1.0), F.greatest(F.lit(0.0), start))
+    key = F.col("doc_id")
+    if not distinct:
+        inside = F.when(key.isNull(), F.floor(begins * fill(none))).otherwise(0)
+        coarse = F.when(key.isNull(), 1).otherwise(0)
+        return rows.withColumn("bucket", (F.lit(1 << 32) * coarse + inside).cast("long")), parts
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in distinct]), lambda x: x < key))
+    ends = F.array(*[F.lit(float(x)) for x in [low - 1, *distinct, max(high, distinct[-1] + 1)]])
+    upper, lower = F.get(ends, at + 1), F.get(ends, at)
+    even = F.floor((upper - key) / (upper - lower) * fill(stretch))
+    hot = F.lit(None).cast("double")
+    for x, n in often.items():
+        hot = F.when(key == x, F.floor(begins * fill(n * stretch))).otherwise(hot)
+    coarse = F.when(key.isNull(), 2 * len(distinct) + 2).otherwise(2 * (len(distinct) - at) + F.when(hot.isNull(), 1).otherwise(0))
+    inside = F.when(key.isNull(), F.floor(begins * fill(none))).otherwise(F.coalesce(hot, even))
+    return rows.withColumn("bucket", (F.lit(1 << 32) * coarse + inside).cast("long")), parts
+
+
+def compare(docs: DataFrame, rows_a_bucket: int = 1_000) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next one's.
 
     "Next" is by descending doc_id, after the last the first; equal doc_ids lie
@@ -151,34 +201,29 @@ def compare(docs: DataFrame, rows_a_bucket: int = 4_000, buckets: int = 2_000) -
     are documents of their own; a document alone is its own next. Other columns
     are ignored; an empty table gives no rows.
 
-    The order is cut into buckets by quantiles of doc_id, about
-    ``rows_a_bucket`` rows each or ``buckets`` of them. One shuffle brings a bucket's rows together,
+    The order is cut into buckets of about ``rows_a_bucket`` rows
+    (:func:`bucketed`). One shuffle brings a bucket's rows together,
     and with them the first document of the bucket after it, so a task streams
-    through its bucket holding two documents. Rows of one doc_id share a bucket.
+    through its bucket holding two documents, however long the bucket is. Rows of
+    one doc_id whose texts begin alike share a bucket.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    count, low = rows.agg(F.count("*"), F.min("doc_id")).first()
-    bounds: list[int] = []
-    if count > rows_a_bucket and low is not None:
-        parts = min(buckets, -(-count // rows_a_bucket))
-        bounds = sorted({x for x in rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if x is not None})
-    # Bucket 0 has the largest ids; the last one also has the null ids.
-    found = F.lit(len(bounds)).cast("long")
-    if bounds:
-        array = F.array(*[F.lit(x) for x in bounds])
-        found = F.lit(len(bounds)).cast("long") - F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(array, lambda x: x < F.col("doc_id"))))
-    placed = rows.select("doc_id", "text", found.alias("bucket"))
-    # One row a bucket: its largest doc_id, and the bucket that reads on into it.
-    heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    around = Window.orderBy("bucket")
+    placed, parts = bucketed(rows, rows_a_bucket)
+    # First in order: the largest doc_id, and of its rows those that begin first.
+    rank = F.coalesce(-F.col("doc_id").cast("decimal(20,0)"), F.lit(0)) * F.lit(1 << 56).cast("decimal(17,0)") + _beginning(F.col("text"))
+    placed = placed.withColumn("rank", rank.cast("decimal(38,0)"))
+    heads = placed.groupBy("bucket").agg(F.min("rank").alias("head"))
+    around = Window.orderBy("bucket")  # one row a bucket, at most MOST_BUCKETS and some
     before = F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     guards = heads.select("bucket", "head", before.alias("reader"))
-    named = placed.join(F.broadcast(guards), "bucket")  # at most 1 + parts rows of 24 bytes
+    named = placed.join(F.broadcast(guards), "bucket")
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("guard"))
     ahead = F.struct(F.col("reader").alias("at"), F.lit(True).alias("guard"))
-    reads = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, ahead)).otherwise(F.array(own))
+    reads = F.when(F.col("rank") == F.col("head"), F.array(own, ahead)).otherwise(F.array(own))
     spread = named.select("doc_id", "text", F.explode(reads).alias("r")).select("doc_id", "text", "r.at", "r.guard")
-    ordered = spread.repartition("at").sortWithinPartitions("at", "guard", F.col("doc_id").desc_nulls_last(), "text")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.repartition(parts, "at") if parts > tasks else spread.repartition("at")
+    ordered = dealt.sortWithinPartitions("at", "guard", F.col("doc_id").desc_nulls_last(), "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x, pa.int64() if i < 2 else pa.string() if i < 5 else pa.float64()) for i, x in enumerate(NAMES)])
