@@ -61,21 +61,27 @@ def _text(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: rendered(t.role, t.text)), "")
 
 
-def _mask(turns: Column) -> Column:
-    """Spans of what assistants say, with the end mark: "from-to from-to"."""
-    lengths = F.transform(turns, lambda t: F.length(rendered(t.role, t.text)))
-    spans = F.transform(
-        turns,
-        lambda t, i: F.when(
-            t.role == "assistant",
-            F.concat_ws(
-                "-",
-                (F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda x, y: x + y) + len(START) + 1 + F.length(t.role)).cast("string"),
-                (F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda x, y: x + y) - 1).cast("string"),
-            ),
-        ),
-    )
-    return F.array_join(F.filter(spans, lambda s: s.isNotNull()), " ")
+def _mask(turns: Column, part: int = 256) -> Column:
+    """Spans of what assistants say, with the end mark: "from-to from-to".
+
+    One pass that carries the length so far. What has been said is added to a
+    list of its part of the turns, and those lists to the whole, so no long
+    string is copied for every turn.
+    """
+
+    def add(held: Column, t: Column) -> Column:
+        said = held["at"] + len(START) + 1 + F.length(t.role)
+        end = said + F.length(t.text) + len(END)
+        span = F.concat(F.lit(" "), said.cast("string"), F.lit("-"), end.cast("string"))
+        return F.struct((end + 1).alias("at"), F.when(t.role == "assistant", F.concat(held["spans"], span)).otherwise(held["spans"]).alias("spans"))
+
+    def add_part(held: Column, i: Column) -> Column:
+        some = F.slice(turns, i * part + 1, F.lit(part))
+        start = F.struct(held["at"].alias("at"), F.lit("").alias("spans"))
+        return F.aggregate(some, start, add, lambda x: F.struct(x["at"].alias("at"), F.concat(held["spans"], x["spans"]).alias("spans")))
+
+    parts = F.sequence(F.lit(0), F.floor(F.size(turns) / part).cast("int"))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("spans")), add_part, lambda x: F.ltrim(x["spans"]))
 
 
 def preferences(pairs: DataFrame) -> DataFrame:
@@ -89,11 +95,12 @@ def preferences(pairs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<role:string,text:string>>")
     both = pairs.select("conv_id", F.coalesce("chosen", none).alias("chosen"), F.coalesce("rejected", none).alias("rejected"))
     cut = both.withColumn("prompt_turns", common_turns(F.col("chosen"), F.col("rejected")))
-    rest = {side: F.slice(side, F.col("prompt_turns") + 1, F.greatest(F.size(side) - F.col("prompt_turns"), F.lit(0))) for side in ("chosen", "rejected")}
+    for side in ("chosen", "rejected"):
+        cut = cut.withColumn(f"{side}_rest", F.slice(side, F.col("prompt_turns") + 1, F.greatest(F.size(side) - F.col("prompt_turns"), F.lit(0))))
     return cut.select(
         "conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"),
         _text(F.slice("chosen", F.lit(1), F.col("prompt_turns"))).alias("prompt"),
-        *[c for side in rest for c in (_text(rest[side]).alias(f"{side}_completion"), _mask(rest[side]).alias(f"{side}_mask"))],
+        *[c for side in ("chosen", "rejected") for c in (_text(F.col(f"{side}_rest")).alias(f"{side}_completion"), _mask(F.col(f"{side}_rest")).alias(f"{side}_mask"))],
     )
 
 

@@ -40,3 +40,22 @@ def test_query_against_sql(spark):
     key = lambda d: d.sort_values("conv_id").reset_index(drop=True)
     assert key(got).to_dict("records") == key(want)[got.columns].to_dict("records")
     assert chat.preferences(chat.answers_to_compare(chat.conversations(frame.limit(0)))).count() == 0
+
+
+def test_long_conversations(spark):
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    one = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    turn = chat.conversations(one).select("conv_id", F.col("turns").alias("chosen"), F.slice("turns", 1, n - 300).alias("rejected"))
+    got = chat.preferences(turn).first()
+    assert got.prompt_turns == n - 300 and got.rejected_completion == ""
+    whole = chat.preferences(turn.select("conv_id", "chosen", F.slice("chosen", 2, n).alias("rejected"))).first()
+    spans, at, text = [], 0, []
+    for i in range(n):
+        role = "assistant" if i % 2 else "user"
+        text.append(f"<|im_start|>{role}\nt{i}<|im_end|>\n")
+        if i % 2:
+            spans.append(f"{at + 12 + 1 + 9}-{at + len(text[-1]) - 1}")
+        at += len(text[-1])
+    assert whole.chosen_completion == "".join(text) and whole.chosen_mask == " ".join(spans)
