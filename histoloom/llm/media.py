@@ -43,28 +43,37 @@ def filtered(pixels: np.ndarray, kinds: np.ndarray | None = None) -> bytes:
     x = pixels.astype(np.int16)
     a, b, c = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
     a[:, 1:], b[1:], c[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
-    every = [x & 255] if kinds is not None and not kinds.any() else [y & 255 for y in (x, x - a, x - b, x - (a + b) // 2, x - _predicted(a, b, c))]
+    ways = (lambda r: x[r], lambda r: x[r] - a[r], lambda r: x[r] - b[r], lambda r: x[r] - (a[r] + b[r]) // 2, lambda r: x[r] - _predicted(a[r], b[r], c[r]))
     if kinds is None:
+        every = [way(slice(None)) & 255 for way in ways]
         kinds = np.argmin([np.minimum(y, 256 - y).sum(1) for y in every], axis=0)
     out = np.zeros((height, width + 1), np.uint8)
     out[:, 0] = kinds
-    for kind, y in enumerate(every):
-        rows = kinds == kind
-        out[rows, 1:] = y[rows]
+    for kind in np.unique(kinds):
+        out[kinds == kind, 1:] = ways[kind](kinds == kind) & 255
     return out.tobytes()
 
 
+def flat_kinds(pixels: np.ndarray) -> np.ndarray:
+    """Filter of each row where most pixels equal the one to the left (Sub) or
+    above (Up), as in what fills a text's last rows and in repeated lines. Other
+    rows of text only grow by prediction and take none."""
+    left, above = np.zeros(len(pixels)), np.zeros(len(pixels))
+    left[:] = (pixels[:, 1:] == pixels[:, :-1]).mean(1)
+    above[1:] = (pixels[1:] == pixels[:-1]).mean(1)
+    return np.where(np.maximum(left, above) <= 0.5, 0, np.where(left >= above, 1, 2))
+
+
 def unfiltered(lines: np.ndarray) -> np.ndarray:
     """Pixels of scan lines (uint8 of (height, width + 1))."""
     kinds, out = lines[:, 0], lines[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown PNG filter")
-    above = np.zeros(out.shape[1], np.uint8)
-    for i in np.flatnonzero(kinds):
+    # Rows of Sub hang on no other row; the others follow in order.
+    out[kinds == 1] = np.cumsum(out[kinds == 1], axis=1, dtype=np.uint8)
+    for i in np.flatnonzero(kinds > 1):
         above = out[i - 1] if i else np.zeros(out.shape[1], np.uint8)
-        if kinds[i] == 1:
-            out[i] = np.cumsum(out[i], dtype=np.uint8)
-        elif kinds[i] == 2:
+        if kinds[i] == 2:
             out[i] += above
         else:  # each pixel needs the one before it
             row, up, left, corner = out[i].tolist(), above.tolist(), 0, 0
@@ -173,8 +182,7 @@ def _mapped(rows: DataFrame, schema: str, each: Callable[[list], list[tuple]], b
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level: int = 6) -> DataFrame:
     """doc_id, n_bytes and the text as a PNG in the binary column ``media``.
 
-    Pixels are text bytes, which no filter makes smaller, so rows are stored
-    with filter 0. A null or empty text gives an image of 576 pixels of 255;
+    Rows are filtered by :func:`flat_kinds`. A null or empty text gives an image of 576 pixels of 255;
     null doc_ids and repeated rows stay; other columns are ignored; an empty
     table gives no rows.
     """
@@ -183,7 +191,7 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", level: in
         out = []
         for key, body in rows:
             pixels, n = text_pixels(body)
-            out.append((key, n, encode(pixels, level, np.zeros(len(pixels), np.uint8))))
+            out.append((key, n, encode(pixels, level, flat_kinds(pixels))))
         return out
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
