@@ -14,13 +14,16 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (one
-    machine, tests) a folder of this process is used instead.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset on one
+    machine (tests) a folder of this process is used instead; on a cluster that
+    is an error, since executors would write to their own disks.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="histoloom-")
     return f"file://{_own_dir}"
@@ -30,12 +33,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/histoloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", small: bool = False) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, and read again.
 
     It cuts the lineage: a lost executor costs only the tasks of later steps.
+    A ``small`` table, as of pre-aggregated counts, is written by an eighth of
+    a shuffle's tasks, so that it is not cut into as many files.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

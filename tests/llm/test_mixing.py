@@ -70,3 +70,33 @@ def test_copies_are_whole_rows(docs):
     assert out.columns == docs.columns
     assert {r["size"] for r in out.collect()} == {"clash"}
     assert out.where("doc_id = 16").count() == next(v for k, v in plain.items() if k[0] == 16)
+
+
+def test_rows_without_ids_meet_their_targets(spark):
+    rows = [(None if i % 3 else 5, " ".join(["w"] * (5 + i % 40)) + f" t{i}", "s" if i % 2 else None) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 6 for r in got)
+
+
+def test_flips_take_what_fits(spark):
+    rows = [(i, 0, size, 1) for i, size in enumerate([1000] + [7] * 500 + [3] * 500)]
+    frame = spark.createDataFrame(rows, "mark long, sid long, size long, copies long")
+    for target in (6000, 6703, 5290, 2, 0, 11_111):
+        got = mixing.flips(frame, spark.createDataFrame([(0, float(target))], "sid long, target double"), 2.0)
+        cells = {(r["size"], r.copies): r for r in got.collect()}
+        unit = frame.select("mark", "size", "copies", mixing._unit(frame.mark, 2).alias("unit")).collect()
+        taken = sum(r["size"] * (r.copies + (cells[r["size"], r.copies].sign if (r["size"], r.copies) in cells and r.unit <= cells[r["size"], r.copies].until else 0)) for r in unit)
+        assert abs(taken - target) < 3
+
+
+def test_intermediate_tables_go(spark, docs):
+    import os
+
+    from histoloom.llm import shared
+
+    top = f"{shared.shared_dir(spark)}/histoloom".removeprefix("file://")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    mixing.mix(docs)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(top)) - before}
+    assert left <= {"known", "flips"}
