@@ -58,9 +58,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray, bits: int = 64) -> np.ndarr
     out = np.zeros((len(counts), bits // 8), np.uint8)
     some = np.flatnonzero(counts)
     if len(some):
-        flat = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
-        starts = (np.cumsum(counts) - counts)[some]
-        ones = np.add.reduceat(flat, starts, axis=0, dtype=np.int32)
+        flat = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+        ends = np.cumsum(counts)[some]
+        ones = np.zeros((len(some), bits), np.int32)
+        for row, a, b in zip(ones, (ends - counts[some]).tolist(), ends.tolist(), strict=True):
+            for i in range(a, b, 255):  # whose sums fit a byte
+                row += np.add.reduce(flat[i : min(i + 255, b)], axis=0, dtype=np.uint8)
         out[some] = np.packbits(ones * 2 > counts[some, None], axis=1, bitorder="little")
     return out
 
@@ -184,7 +187,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for batch in batches:
             body = batch.column(1)
             lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
-            for a, b in tokens.slices(lengths.tolist(), 500_000):
+            for a, b in tokens.slices(lengths.tolist(), 100_000):
                 hashes = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)) for x in body.slice(a, b - a).to_pylist()]
                 counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
                 marks, keys = wide_marks(np.concatenate(hashes), counts)
@@ -258,73 +261,132 @@ def band_mates(nodes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Index pairs of Jaccard similarity or more whose components are those of
-    all such pairs. A set is only held against components it is not yet in."""
-    groups: list[list[int]] = []
+def exact_links(sets: list[np.ndarray], similarity: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Index pairs of Jaccard similarity or more that, with the components
+    already ``known`` (a name for each set), connect all that such pairs
+    connect. A set is only held against components it is not yet in."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    groups: dict[int, list[int]] = {}
     links = []
     for i, own in enumerate(sets):
-        joined, rest = [i], []
-        for members in groups:
-            for j in members:
-                other = sets[j]
-                low, high = sorted((len(own), len(other)))
+        mine = find(known[i] if known else i)
+        for other in [g for g in groups if g != mine]:
+            for j in groups[other]:
+                low, high = sorted((len(own), len(sets[j])))
                 if low < similarity * high:
                     continue
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both >= similarity * (len(own) + len(other) - both):
+                both = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if both >= similarity * (low + high - both):
                     links.append((j, i))
-                    joined += members
+                    parent[other] = mine
+                    groups[mine] = groups.get(mine, []) + groups.pop(other)
                     break
-            else:
-                rest.append(members)
-        groups = [*rest, joined]
+        groups.setdefault(mine, []).append(i)
     return links
 
 
-def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, max_group: int) -> DataFrame:
-    """Links of candidates (node, root) by exact Jaccard similarity of
-    their shingle sets: a, b.
-
-    A candidate group is one task's work unless it has more than ``max_group``
-    members; then it is cut into blocks, and each two blocks are one task's
-    (:func:`block_pairs`), so that all pairs are compared at every size.
-    """
-    large = shared.written(candidates.groupBy("root").count().where(F.col("count") > max_group).select(F.col("root").alias("large"), "count"), "large")
-    cut = F.when(F.col("large").isNotNull(), block_pairs(F.col("root"), F.col("node"), F.col("count"), max_group)).otherwise(F.array("root"))
-    keyed = candidates.join(large, F.col("root") == F.col("large"), "left").select("node", cut.alias("keys"))
-    # As in dedup, rows are shuffled at every size.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(keyed.hint("shuffle_merge"), "node")
+def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """node, root and the shingle set of each member (node, root)."""
+    # Rows are shuffled at every size, as in dedup.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.hint("shuffle_merge"), "node")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos.only()
         for batch in batches:
-            keys = batch.column(2).to_pylist()
-            bodies = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)).tobytes() for x in batch.column(1).to_pylist()]
-            of = [i for i, k in enumerate(keys) for _ in k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array([x for k in keys for x in k], pa.int64()), pa.array([bodies[i] for i in of], pa.binary())], names=["node", "key", "body"])
+            bodies = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=["node", "root", "body"])
+
+    return texts.select("node", "root", "text").mapInArrow(shingled, "node long, root long, body binary")
+
+
+def _linked(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b within each ``key`` of rows (key, node, known, body)."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, names, sets = None, [], []
+        last, names, known, sets = None, [], [], []
         ends: tuple[list, list] = [], []
 
         def link() -> None:
-            for i, j in exact_links(sets, similarity):
+            for i, j in exact_links(sets, similarity, known):
                 ends[0].append(names[i])
                 ends[1].append(names[j])
 
         for batch in batches:
-            for node, key, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, node, in_, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if key != last:
                     link()
-                    last, names, sets = key, [], []
+                    last, names, known, sets = key, [], [], []
                 names.append(node)
+                known.append(in_)
                 sets.append(np.frombuffer(body, np.uint64))
         link()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
 
-    rows = texts.select("node", "text", "keys").mapInArrow(shingled, "node long, key long, body binary")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "a long, b long")
+    return rows.select("key", "node", "known", "body").repartition("key").sortWithinPartitions("key", "known", "node").mapInArrow(linked, "a long, b long")
+
+
+def open_pairs(node: Column, known: Column, largest: Column, inside: Column, outside: Column, most: int) -> Column:
+    """Keys of the tasks of a member of a group whose largest component holds
+    ``inside`` members and whose others hold ``outside``.
+
+    Members are dealt to blocks of about ``most`` / 2, those of the largest
+    component apart. A task is two blocks, at least one of them of the others,
+    so each two members of different components meet in some task, and members
+    of the largest are copied as often as the *others* have blocks.
+    """
+    half = F.lit(max(1, most // 2))
+    inner, outer = (F.greatest(F.lit(1), F.ceil(n / half)).cast("long") for n in (inside, outside))
+    own = F.when(known == largest, F.pmod(F.xxhash64(node, F.lit(17)), inner)).otherwise(inner + F.pmod(F.xxhash64(node, F.lit(19)), outer))
+    others = F.sequence(F.when(known == largest, inner).otherwise(F.lit(0).cast("long")), inner + outer - 1)
+    return F.transform(others, lambda i: F.xxhash64(largest, F.least(own, i), F.greatest(own, i)))
+
+
+def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, max_group: int, deals: int = 2) -> DataFrame:
+    """Links of candidates (node, root) by exact Jaccard similarity of
+    their shingle sets: a, b.
+
+    A candidate group is one task's work unless it has more than ``max_group``
+    members. Then it is dealt to tasks of about half as many, each task links
+    its own, and it is dealt once more, which joins nearly all that belongs
+    together: members are copied once a deal, so a group of near copies costs
+    in proportion to its size. What is then not in the largest component is held
+    against all members of other components (:func:`open_pairs`), so at every
+    size all pairs are compared or known to be connected.
+    """
+    counts = candidates.groupBy("root").agg(F.count("*").alias("count"))
+    # Written, so that its size is known before the joins with it are planned.
+    large = shared.written(counts.where(F.col("count") > max_group), "large")
+    members = candidates.select("node", "root")
+    single = _sets(docs, members.join(large, "root", "left_anti").select("node", "root"), shingle)
+    links = _linked(single.select(F.col("root").alias("key"), "node", F.col("node").alias("known"), "body"), similarity)
+    if large.isEmpty():
+        return links
+    links = shared.written(links, "links")
+    sets = shared.written(_sets(docs, members.join(large, "root").select("node", "root"), shingle), "sets").join(large, "root")
+    found, rooted = None, sets.withColumn("known", F.col("node"))
+
+    def with_known(of: DataFrame) -> DataFrame:
+        held = shared.components(of).toDF("node", "known")
+        return sets.join(held, "node", "left").withColumn("known", F.coalesce("known", "node"))
+
+    for i in range(deals):
+        blocks = F.ceil(F.col("count") / F.lit(max(1, max_group // 2))).cast("long")
+        dealt = rooted.withColumn("key", F.xxhash64("root", F.lit(i), F.pmod(F.xxhash64("node", F.lit(i)), blocks)))
+        got = shared.written(_linked(dealt, similarity), "links")
+        found = got if found is None else found.union(got)
+        rooted = with_known(found)
+    sizes = shared.written(rooted.groupBy("root", "known").agg(F.count("*").alias("n")), "sizes")
+    open_ = sizes.groupBy("root").agg(F.max(F.struct("n", "known")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
+    left = rooted.join(open_, "root")
+    keys = open_pairs(F.col("node"), F.col("known"), F.col("top.known"), F.col("top.n"), F.col("all") - F.col("top.n"), max_group)
+    last = _linked(left.withColumn("key", F.explode(keys)), similarity)
+    return links.union(found).union(last)
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 2_000) -> DataFrame:
@@ -336,8 +398,9 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group:
     similarity. What can be missed are pairs without a common band: 0.02 % of
     those at exactly 0.8, fewer above.
 
-    Rows that share a doc_id count as one document. Rows with a null doc_id
-    cannot be named and stay. Null and empty texts are equal texts. All columns
+    Rows that share a doc_id count as one document: they stay or go together,
+    and of those that stay the one whose text comes first is left. Rows with a
+    null doc_id cannot be named and stay. Null and empty texts are equal texts. All columns
     come back as they were; an empty table gives no rows.
     """
     marked = shared.written(wide_fingerprints(docs, shingle), "wide")
@@ -352,5 +415,7 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group:
     repeated = named.where("doc_id = root").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    some = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).union(some.select(docs.columns))
+    # Of a repeated doc_id the row whose text, then whose columns come first.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    some = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row"))
+    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).union(some.select("row.*"))
