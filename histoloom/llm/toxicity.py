@@ -208,13 +208,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_feat
     """Learns from at most ``most_labels`` labelled rows that are not held out.
 
     Those of the smallest hashes of doc_id are taken. Of several labels of one
-    doc_id the highest counts; null labels count as none. Copies would make any
+    doc_id the highest counts, of several texts the first in order; null labels
+    count as none. Copies would make any
     of their words look telling, so of texts with the same least shingle hash
-    only one counts. Without labels the grammar's own words are left.
+    only one counts. Without labels the grammar's own words are left. The
+    lexicon is chosen among the ``most_features`` commonest words and stems of
+    these rows' toxic texts, so that what the driver holds is bounded.
     """
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("is_toxic"))
     some = clean.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most most_labels rows of 16 bytes
+    labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most most_labels rows of 16 bytes
+    texts = labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("is_toxic").alias("is_toxic"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from histoloom.llm.simhash import shingle_hashes
@@ -224,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_feat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], names=["text", "is_toxic", "least"])
 
     rows = texts.select("text", "is_toxic").mapInArrow(sketched, "text string, is_toxic int, least long")
-    sample = shared.written(rows.dropDuplicates(["least", "is_toxic"]), "labelled")
+    sample = shared.written(rows.groupBy("least", "is_toxic").agg(F.min("text").alias("text")), "labelled")
     size = {r[0]: r[1] for r in sample.groupBy("is_toxic").count().collect()}
     toxic, fine = size.get(1, 0), size.get(0, 0)
     bar = max(4, toxic // 100)
@@ -254,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_feat
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
     pairs = np.array(sorted(tuple(r) for r in sample.select("text", "is_toxic").mapInArrow(seen, "x double, y int").collect())).reshape(-1, 2)
+    shared.drop(sample)
     if toxic and fine:
         model.a, model.b = _logistic(pairs[:, 0], pairs[:, 1])
     return model
@@ -281,5 +286,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """``docs`` less the rows whose score reaches the threshold."""
+    """``docs`` less the rows whose score reaches the threshold.
+
+    Null texts score as empty ones; rows of a null doc_id and repeated rows are
+    judged by their text like any other; all columns come back as they were,
+    whatever their names; an empty table gives no rows.
+    """
     return docs.where(scores(fit(docs, labels, **options), F.col("text")) < threshold)
