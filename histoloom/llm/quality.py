@@ -196,9 +196,36 @@ class Model:
     scorer: Scorer
 
 
-def fit(docs: DataFrame, sample: int = 10_000) -> Model:
+def _bound(keys: DataFrame, sample: int) -> tuple[int, int]:
+    """The ``sample``th smallest hash ``k``, and how many of its rows count.
+
+    Distinct hashes are spread evenly, so those in the first share of the range
+    that should hold ``sample`` rows are few; the share grows where repeated
+    rows lie beyond it. The driver sees some multiples of ``sample`` numbers,
+    whatever the number of rows and partitions.
+    """
+    rows = keys.count()
+    share = (sample + 6 * sample**0.5 + 10) / max(1, rows)
+    while rows:
+        top = min((1 << 63) - 1, int(share * 2**64) - (1 << 63))
+        counts = sorted(map(tuple, keys.where(F.col("k") <= top).groupBy("k").count().collect()))
+        left = sample
+        for k, n in counts:
+            if n >= left:
+                return k, left
+            left -= n
+        if share >= 1:
+            return (counts[-1][0], counts[-1][1]) if counts else (0, 0)
+        share *= 4
+    return 0, 0
+
+
+def fit(docs: DataFrame, sample: int = 10_000, most_features: int = 512) -> Model:
     """Vote counts cover all of ``docs``; the scorer learns from at most
-    ``sample`` documents, those of the smallest hashes of doc_id and text."""
+    ``sample`` documents, those of the smallest hashes of doc_id and text, and
+    of each from its ``most_features`` commonest features (few documents have
+    more), so what the driver holds is bounded. Rows that tie at the last hash
+    are equal, so it does not matter which of them are taken."""
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos.only("shapes")
@@ -209,16 +236,24 @@ def fit(docs: DataFrame, sample: int = 10_000) -> Model:
     # At most 3 to the 9th patterns.
     counts = docs.select("text").mapInArrow(voted, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     labels = estimate({r[0]: r[1] for r in counts.collect()})
-    key = F.xxhash64("doc_id", F.length("text"))
-    bound = docs.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    some = docs.where(key <= bound).select("text") if bound is not None else docs.limit(0).select("text")
+    key = F.xxhash64("doc_id", "text")
+    bodies = docs.select("text", key.alias("k"))
+    last, ties = _bound(bodies.select("k"), sample)
+    some = bodies.limit(0)
+    if ties:
+        some = bodies.where(F.col("k") < last).union(bodies.where(F.col("k") == last).limit(ties))
+
+    def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        bucket, n = np.unique(hashed(text), return_counts=True)
+        most = np.sort(np.argsort(-n, kind="stable")[:most_features])
+        return bucket[most], n[most]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*np.unique(hashed(x), return_counts=True), labels.posterior(votes(x))) for x in batch.column(0).to_pylist()]
+            rows = [(*counted(x), labels.posterior(votes(x))) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0].tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.float64())], names=["b", "n", "y"])
 
-    rows = some.mapInArrow(features, "b array<long>, n array<long>, y double").limit(2 * sample).collect()
+    rows = some.select("text").mapInArrow(features, "b array<long>, n array<long>, y double").collect()
     return Model(labels, train(sorted((r.b, r.n, r.y) for r in rows)))
 
 
@@ -259,5 +294,10 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = 10_000) -> D
 
 
 def without_bad(docs: DataFrame, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
-    """``docs`` less the rows whose score is below the threshold."""
+    """``docs`` less the rows whose score is below the threshold.
+
+    Null texts count as empty; rows of a null doc_id and repeated rows are
+    judged by their text like any other; all columns come back as they were,
+    whatever their names; an empty table gives no rows.
+    """
     return docs.where(scores(fit(docs, sample), F.col("text")) >= threshold)
