@@ -2,8 +2,8 @@
 
 Fingerprints within a radius are linked; groups are the connected components.
 A tree of the whole corpus would grow with it and would have to be sent to
-every task, and most of a tree of random 64-bit values lies within reach of any
-query. So the corpus is cut into *shards* such that every link lies within some
+every task, and what a query visits of it grows too (0.6 % of 50,000 random
+64-bit values at radius 2). So the corpus is cut into *shards* such that every link lies within some
 shard, and each shard's tree is built by the task that holds the shard:
 
 * 64-bit fingerprints, radius 2: the bits are cut into four blocks of 16; two
