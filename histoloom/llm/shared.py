@@ -59,6 +59,10 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Links of one node that one task may read in a round.
+MOST_LINKS = 500
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
@@ -70,17 +74,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     rewires neighbours to a local minimum, so the number of edges never grows
     and the number of rounds is logarithmic. Each round is a written table. A
     node's neighbours are never gathered into one row: the minimum is a
-    pre-aggregated ``min`` that is joined back.
+    pre-aggregated ``min`` that is joined back. Links of a node that has more
+    than ``MOST_LINKS`` are dealt over several keys for that join.
     """
     spark = edges.sparkSession
     both = edges.where("a <> b")
     now = written(both.selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     mark = None
+    edges_now = now.count()
     for _ in range(max_rounds):
         # Large star: every larger neighbour of a node moves to the node's minimum.
         sides = now.union(now.select("b", "a")).toDF("u", "v")
-        least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sides.where("v > u").join(least, "u").selectExpr("v a", "m b").where("a <> b").distinct()
+        least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        # At most 200,000 nodes have this many links each.
+        most = max(MOST_LINKS, edges_now // 100_000)
+        hubs = written(least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("long").alias("deal")), "hubs") if edges_now > most else None
+        far = sides.where("v > u")
+        if hubs is None or hubs.isEmpty():
+            met = far.join(least, "u")
+        else:
+            dealt = far.join(F.broadcast(hubs), "u", "left").withColumn("key", F.coalesce(F.pmod(F.xxhash64("v"), F.col("deal")), F.lit(0).cast("long")))
+            times = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deal", F.lit(1).cast("long")) - 1))
+            targets = least.join(F.broadcast(hubs), "u", "left").select("u", "m", times.alias("key"))
+            met = dealt.join(targets, ["u", "key"])
+        large = met.selectExpr("v a", "m b").where("a <> b").distinct()
         # Small star: every smaller neighbour, and the node, move to the minimum.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
@@ -88,7 +105,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = written(out, "edges")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(now)
-        now = after
+        if hubs is not None:
+            drop(hubs)
+        now, edges_now = after, seen[0]
         if seen == mark:
             break
         mark = seen

@@ -183,3 +183,10 @@ def test_large_groups_are_cut_into_bounded_tasks(spark):
     candidates = spark.createDataFrame([(i, 0, [i * 16 + b for b in range(16)]) for i in range(200)], "node long, root long, bands array<long>")
     found = shared.components(simhash.verified(frame, candidates, 5, 0.8, 40))
     assert {x.node: x.root for x in found.collect()} == dict.fromkeys(range(200), 0)
+
+
+def test_components_of_a_hub(spark):
+    star = spark.range(1, 3001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    more = spark.createDataFrame([(7, 40000), (40001, 40000), (50000, 50001)], "a long, b long")
+    got = {x.node: x.root for x in shared.components(star.union(more)).collect()}
+    assert got == dict.fromkeys([*range(3001), 40000, 40001], 0) | {50000: 50000, 50001: 50000}
