@@ -13,7 +13,7 @@ each member, and no pairs within it are listed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 
 class BKForest:
@@ -34,14 +34,16 @@ class BKForest:
             i = parent[i]
         return i
 
-    def add(self, value: int) -> list[int]:
+    def add(self, value: int, accept: Callable[[int], bool] | None = None, beside: int | None = None) -> list[int]:
         """Inserts a value; members that it links to a component of its own.
 
         One member for each component that lay within the radius: with the links
-        of earlier insertions they connect all that is connected.
+        of earlier insertions they connect all that is connected. Of the members
+        within the radius only those that ``accept`` confirms are linked.
+        ``beside`` is a member that the value is known to be connected with.
         """
         new, radius, values, children, only = len(self.values), self.radius, self.values, self.children, self.only
-        self.parent.append(new)
+        self.parent.append(new if beside is None else self.find(beside))
         links: list[int] = []
         stack = [0] if new else []
         while stack:
@@ -49,7 +51,7 @@ class BKForest:
             if only[i] >= 0 and self.find(only[i]) == self.find(new):
                 continue
             distance = (values[i] ^ value).bit_count()
-            if distance <= radius and (root := self.find(i)) != (own := self.find(new)):
+            if distance <= radius and (root := self.find(i)) != (own := self.find(new)) and (accept is None or accept(i)):
                 self.parent[own] = root
                 links.append(i)
             stack += [c for d, c in children[i].items() if -radius <= d - distance <= radius]

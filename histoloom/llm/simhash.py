@@ -12,11 +12,12 @@ shard, and each shard's tree is built by the task that holds the shard:
   fingerprints are cut once more, by two of the four bytes that are left, and
   then hold at most 65,536 fingerprints, since fingerprints are distinct.
 * wide fingerprints, similarity 0.8: the radius is too large for blocks (the
-  expected distance is 15 % of the bits), so a shard is a band of minimal
-  shingle hashes, which texts of Jaccard similarity 0.8 share in one of 16
-  bands with probability 0.9998. Short texts of one similarity lie at very
-  different distances, so near-dedup puts no radius between shards and the exact
-  check: all members of a shard are candidates.
+  expected distance is 15 % of the bits), so shards are made of bands of minimal
+  shingle hashes, of which texts of Jaccard similarity 0.8 share one of 16
+  with probability 0.9998: a shard is all that is connected by common bands.
+  Bands only say where a tree is built. What is held against what is found in
+  the tree, within a radius that is safe for short texts too (:data:`RADIUS`),
+  and only what the tree finds is confirmed by exact similarity and linked.
 
 Equal fingerprints are merged by a pre-aggregated ``groupBy`` before anything
 else, so groups of exact copies of any size cost nothing further on.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histoloom.llm import memos, shared, tokens
-from histoloom.llm.bktree import spanning_links
+from histoloom.llm.bktree import BKForest, spanning_links
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -152,13 +153,16 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, max_shard: int =
 # Wide fingerprints, for a similarity of 0.8.
 
 WORDS, BANDS, ROWS = 8, 16, 4
+#: Of 512 bits. Texts of similarity 0.8 or more differ in 19 % of them at most on
+#: average (4 of 5 shingles), and in more than 160 with probability 4e-12.
+RADIUS = 160
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, (2, WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(0, 1 << 31, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_marks(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """512-bit fingerprints (uint8) and 16 band keys (int64) of each text.
+def wide_marks(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """512-bit fingerprints (uint8) of each text.
 
     ``hashes``: distinct shingle hashes of each text, texts one after another.
     """
@@ -166,7 +170,12 @@ def wide_marks(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     mixed ^= mixed >> np.uint64(29)
     mixed *= _ODD[1]
     mixed ^= mixed >> np.uint64(32)
-    marks = majority(mixed, counts, 64 * WORDS)
+    return majority(mixed, counts, 64 * WORDS)
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """16 band keys (int64) of each text, for the same hashes: what shards its
+    fingerprint may lie in."""
     keys = np.zeros((len(counts), BANDS), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
@@ -176,7 +185,16 @@ def wide_marks(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
             least = np.minimum.reduceat(low * np.uint32(a) + np.uint32(b & np.uint64(0xFFFFFFFF)), starts)
             key = keys[some, i // ROWS]
             keys[some, i // ROWS] = (key ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // ROWS)
-    return marks, keys.view(np.int64)
+    return keys.view(np.int64)
+
+
+def _hashed(body: pa.Array, shingle: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, int, int]]:
+    """Distinct shingle hashes of each text, their numbers, and where the texts
+    begin and end, a slice of texts at a time."""
+    lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
+    for a, b in tokens.slices(lengths.tolist(), 100_000):
+        hashes = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)) for x in body.slice(a, b - a).to_pylist()]
+        yield hashes, np.fromiter(map(len, hashes), np.int64, len(hashes)), a, b
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -185,12 +203,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos.only()
         for batch in batches:
-            body = batch.column(1)
-            lengths = np.nan_to_num(pa.compute.binary_length(body).to_numpy(zero_copy_only=False)).astype(np.int64)
-            for a, b in tokens.slices(lengths.tolist(), 100_000):
-                hashes = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)) for x in body.slice(a, b - a).to_pylist()]
-                counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-                marks, keys = wide_marks(np.concatenate(hashes), counts)
+            for hashes, counts, a, b in _hashed(batch.column(1), shingle):
+                flat = np.concatenate(hashes)
+                marks, keys = wide_marks(flat, counts), band_keys(flat, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in marks], pa.binary()), lists], names=["doc_id", "mark", "bands"])
 
@@ -261,74 +276,81 @@ def band_mates(nodes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def exact_links(sets: list[np.ndarray], similarity: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have that Jaccard similarity or more."""
+    low, high = sorted((len(a), len(b)))
+    if low < similarity * high:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (low + high - both)
+
+
+def exact_links(sets: list[np.ndarray], similarity: float, known: list[int] | None = None, marks: list[int] | None = None, radius: int = 64 * WORDS) -> list[tuple[int, int]]:
     """Index pairs of Jaccard similarity or more that, with the components
     already ``known`` (a name for each set), connect all that such pairs
-    connect. A set is only held against components it is not yet in."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
+    connect.
 
-    groups: dict[int, list[int]] = {}
+    Pairs are found by a BK-tree of the sets' wide fingerprints (``marks``, made
+    here if not given): those within ``radius`` that are not yet connected are
+    confirmed by :func:`similar`. The default radius takes in every pair.
+    """
+    if marks is None:
+        counts = np.fromiter(map(len, sets), np.int64, len(sets))
+        marks = _numbers(wide_marks(np.concatenate([np.zeros(0, np.uint64), *sets]), counts))
+    tree, first = BKForest(radius), {}
     links = []
-    for i, own in enumerate(sets):
-        mine = find(known[i] if known else i)
-        for other in [g for g in groups if g != mine]:
-            for j in groups[other]:
-                low, high = sorted((len(own), len(sets[j])))
-                if low < similarity * high:
-                    continue
-                both = len(np.intersect1d(own, sets[j], assume_unique=True))
-                if both >= similarity * (low + high - both):
-                    links.append((j, i))
-                    parent[other] = mine
-                    groups[mine] = groups.get(mine, []) + groups.pop(other)
-                    break
-        groups.setdefault(mine, []).append(i)
+    for i, (own, mark) in enumerate(zip(sets, marks, strict=True)):
+        beside = first.setdefault(known[i], i) if known else i
+        links += [(j, i) for j in tree.add(mark, lambda j, own=own: similar(own, sets[j], similarity), None if beside == i else beside)]
     return links
 
 
+def _numbers(marks: np.ndarray) -> list[int]:
+    return [int.from_bytes(x.tobytes(), "little") for x in marks]
+
+
 def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """node, root and the shingle set of each member (node, root)."""
+    """node, root, the shingle set and its wide fingerprint of each member (node, root)."""
     # Rows are shuffled at every size, as in dedup.
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.hint("shuffle_merge"), "node")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos.only()
         for batch in batches:
-            bodies = [np.unique(np.array(shingle_hashes(x, shingle), np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=["node", "root", "body"])
+            for hashes, counts, a, b in _hashed(batch.column(2), shingle):
+                marks = wide_marks(np.concatenate(hashes), counts)
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (hashes, marks))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "body", "mark"])
 
-    return texts.select("node", "root", "text").mapInArrow(shingled, "node long, root long, body binary")
+    return texts.select("node", "root", "text").mapInArrow(shingled, "node long, root long, body binary, mark binary")
 
 
-def _linked(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b within each ``key`` of rows (key, node, known, body)."""
+def _linked(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links a, b within each ``key`` of rows (key, node, known, body, mark),
+    by one BK-tree a key."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, names, known, sets = None, [], [], []
+        last, names, known, sets, marks = None, [], [], [], []
         ends: tuple[list, list] = [], []
 
         def link() -> None:
-            for i, j in exact_links(sets, similarity, known):
+            for i, j in exact_links(sets, similarity, known, marks, radius):
                 ends[0].append(names[i])
                 ends[1].append(names[j])
 
         for batch in batches:
-            for key, node, in_, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, node, in_, body, mark in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != last:
                     link()
-                    last, names, known, sets = key, [], [], []
+                    last, names, known, sets, marks = key, [], [], [], []
                 names.append(node)
                 known.append(in_)
                 sets.append(np.frombuffer(body, np.uint64))
+                marks.append(int.from_bytes(mark, "little"))
         link()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
 
-    return rows.select("key", "node", "known", "body").repartition("key").sortWithinPartitions("key", "known", "node").mapInArrow(linked, "a long, b long")
+    return rows.select("key", "node", "known", "body", "mark").repartition("key").sortWithinPartitions("key", "known", "node").mapInArrow(linked, "a long, b long")
 
 
 def open_pairs(node: Column, known: Column, largest: Column, inside: Column, outside: Column, most: int) -> Column:
@@ -347,11 +369,12 @@ def open_pairs(node: Column, known: Column, largest: Column, inside: Column, out
     return F.transform(others, lambda i: F.xxhash64(largest, F.least(own, i), F.greatest(own, i)))
 
 
-def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, max_group: int, deals: int = 2) -> DataFrame:
-    """Links of candidates (node, root) by exact Jaccard similarity of
-    their shingle sets: a, b.
+def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, max_group: int, deals: int = 2, radius: int = RADIUS) -> DataFrame:
+    """Links of candidates (node, root): a, b. They are pairs within ``radius``
+    that the BK-tree of their shard (``root``) finds, confirmed by the exact
+    Jaccard similarity of their shingle sets.
 
-    A candidate group is one task's work unless it has more than ``max_group``
+    A shard is one task's tree unless it has more than ``max_group``
     members. Then it is dealt to tasks of about half as many, each task links
     its own, and it is dealt once more, which joins nearly all that belongs
     together: members are copied once a deal, so a group of near copies costs
@@ -364,7 +387,7 @@ def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: f
     large = shared.written(counts.where(F.col("count") > max_group), "large")
     members = candidates.select("node", "root")
     single = _sets(docs, members.join(large, "root", "left_anti").select("node", "root"), shingle)
-    links = _linked(single.select(F.col("root").alias("key"), "node", F.col("node").alias("known"), "body"), similarity)
+    links = _linked(single.select(F.col("root").alias("key"), "node", F.col("node").alias("known"), "body", "mark"), similarity, radius)
     if large.isEmpty():
         return links
     links = shared.written(links, "links")
@@ -378,25 +401,27 @@ def verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: f
     for i in range(deals):
         blocks = F.ceil(F.col("count") / F.lit(max(1, max_group // 2))).cast("long")
         dealt = rooted.withColumn("key", F.xxhash64("root", F.lit(i), F.pmod(F.xxhash64("node", F.lit(i)), blocks)))
-        got = shared.written(_linked(dealt, similarity), "links")
+        got = shared.written(_linked(dealt, similarity, radius), "links")
         found = got if found is None else found.union(got)
         rooted = with_known(found)
     sizes = shared.written(rooted.groupBy("root", "known").agg(F.count("*").alias("n")), "sizes")
     open_ = sizes.groupBy("root").agg(F.max(F.struct("n", "known")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
     left = rooted.join(open_, "root")
     keys = open_pairs(F.col("node"), F.col("known"), F.col("top.known"), F.col("top.n"), F.col("all") - F.col("top.n"), max_group)
-    last = _linked(left.withColumn("key", F.explode(keys)), similarity)
+    last = _linked(left.withColumn("key", F.explode(keys)), similarity, radius)
     return links.union(found).union(last)
 
 
-def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 2_000) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group: int = 2_000, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row, that of the smallest doc_id, of each group.
 
     Groups are the components of links between texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more. All texts that share a
-    band are candidates, short ones too, and are linked by their exact
-    similarity. What can be missed are pairs without a common band: 0.02 % of
-    those at exactly 0.8, fewer above.
+    shingles have a Jaccard similarity of 0.8 or more. Texts that are connected
+    by common bands are a shard; the BK-tree of a shard finds the pairs of wide
+    fingerprints within ``radius``, and these are confirmed by their exact
+    similarity. What can be missed are pairs without a common band, 0.02 % of
+    those at exactly 0.8 and fewer above, and those beyond the radius, 4 in
+    10¹² at most. That holds for similarity 0.8: a lower one needs a larger radius.
 
     Rows that share a doc_id count as one document: they stay or go together,
     and of those that stay the one whose text comes first is left. Rows with a
@@ -407,7 +432,7 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_group:
     nodes = shared.written(marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
     near = shared.components(band_mates(nodes)).toDF("node", "root")
     candidates = shared.written(near, "candidates")
-    roots = shared.components(verified(docs, candidates, shingle, similarity, max_group)).toDF("node", "root")
+    roots = shared.components(verified(docs, candidates, shingle, similarity, max_group, radius=radius)).toDF("node", "root")
     rooted = nodes.select("mark", "node").join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
     named = shared.written(marked.select("doc_id", "mark").where("doc_id is not null").join(rooted, "mark").select("doc_id", "root"), "named")
     # Both grow with the corpus, so whole rows are shuffled, once, at every size.

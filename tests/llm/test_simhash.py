@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -190,3 +191,57 @@ def test_components_of_a_hub(spark):
     more = spark.createDataFrame([(7, 40000), (40001, 40000), (50000, 50001)], "a long, b long")
     got = {x.node: x.root for x in shared.components(star.union(more)).collect()}
     assert got == dict.fromkeys([*range(3001), 40000, 40001], 0) | {50000: 50000, 50001: 50000}
+
+
+def test_radius_is_safe_at_the_threshold():
+    # Chance that a bit differs between sets with c shingles in common and a and b more.
+    def chance(c, a, b):
+        ones = [[sum(math.comb(n, k) for k in range(n + 1) if 2 * (x + k) > c + n) / 2**n for x in range(c + 1)] for n in (a, b)]
+        return sum(math.comb(c, x) * (p * (1 - q) + q * (1 - p)) for x, (p, q) in enumerate(zip(*ones, strict=True))) / 2**c
+
+    worst = max(chance(c, a, d - a) for c in range(1, 61) for d in range(c // 4 + 1) for a in range(d // 2 + 1))
+    assert worst == chance(4, 0, 1) == 0.1875
+    tail = sum(math.comb(512, k) * worst**k * (1 - worst) ** (512 - k) for k in range(simhash.RADIUS + 1, 513))
+    assert tail < 1e-11
+    # As measured: 4 of 5 shingles, and sets of nothing in common.
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, (2000, 5), np.uint64)
+    four, five = (simhash.wide_marks(hashes[:, :n].reshape(-1), np.full(2000, n)) for n in (4, 5))
+    near = np.unpackbits(four ^ five, axis=1).sum(1)
+    assert 94 < near.mean() < 98 and near.max() <= simhash.RADIUS
+    assert np.unpackbits(four[1:] ^ five[:-1], axis=1).sum(1).min() > simhash.RADIUS
+
+
+def test_tree_finds_what_is_confirmed(monkeypatch):
+    r = random.Random(41)
+    sets = []
+    for _ in range(30):
+        base = [r.getrandbits(63) for _ in range(r.choice([4, 9, 40, 200]))]
+        sets += [np.unique(np.array(base[: len(base) - n] + [r.getrandbits(63) for _ in range(n)], np.uint64)) for n in (0, 0, len(base) // 12, len(base) // 3)]
+    seen = []
+    similar = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda a, b, s: seen.append((a, b)) or similar(a, b, s))
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+    links = simhash.exact_links(sets, 0.8, radius=simhash.RADIUS)
+    assert roots(len(sets), links) == roots(len(sets), every)
+    # Sets of other texts are beyond the radius, and are not confirmed one by one.
+    assert len(every) // 2 <= len(seen) < 10 * len(sets)
+    # Only what the tree finds is linked; components that are known are not searched.
+    assert all(np.array_equal(sets[i], sets[j]) for i, j in simhash.exact_links(sets, 0.8, radius=0))
+    seen.clear()
+    assert simhash.exact_links(sets, 0.8, [5] * len(sets)) == [] == seen
+    known = [i % 7 for i in range(len(sets))]
+    joined = [(i, j) for i in range(len(sets)) for j in range(i) if known[i] == known[j]]
+    assert roots(len(sets), simhash.exact_links(sets, 0.8, known, radius=simhash.RADIUS) + joined) == roots(len(sets), every + joined)
+
+
+def test_dedup_searches_fingerprints(spark):
+    r = random.Random(43)
+    rows = []
+    for _ in range(20):
+        words = [f"w{r.randrange(5000)}" for _ in range(100)]
+        rows += [(len(rows) + k, " ".join(x), "en", "s", 1) for k, x in enumerate([words, words, [*words, "more"], [*words[:40], *"abcdefghij", *words[40:]]])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for most in (2_000, 1):
+        assert sorted(x.doc_id for x in simhash.dedup(frame, max_group=most).collect()) == list(range(0, 80, 4))
+        # The tree of radius 0 finds equal fingerprints only, whatever shares a band.
+        assert sorted(x.doc_id for x in simhash.dedup(frame, max_group=most, radius=0).collect()) == [i for i in range(80) if i % 4 != 1]
