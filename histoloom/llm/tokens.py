@@ -52,6 +52,10 @@ class _Codes(dict):
         self.fresh.append(chunk)
         return code
 
+    def of(self, chunks: pa.Array) -> np.ndarray:
+        """Codes of chunks without nulls; numpy's strings take an eighth of the time of Arrow's list."""
+        return np.fromiter(map(self.__getitem__, chunks.to_numpy(zero_copy_only=False)), np.int64, len(chunks))
+
 
 class WordMemo:
     """Encodes texts to one flat id array with document lengths.
@@ -147,7 +151,7 @@ class WordMemo:
             return
         lists = self._parts(fresh)
         merged = lists.flatten().dictionary_encode()
-        parts = np.fromiter(map(codes.__getitem__, merged.dictionary.to_pylist()), np.int64, len(merged.dictionary))[merged.indices.to_numpy(zero_copy_only=False)]
+        parts = codes.of(merged.dictionary)[merged.indices.to_numpy(zero_copy_only=False)]
         added, codes.fresh = codes.fresh, []
         first = at + len(fresh)
         numbers = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -191,11 +195,10 @@ class WordMemo:
         known = len(self.codes)
         lists = pc.split_pattern(pc.replace_substring(body, "\n", " "), " ")
         merged = lists.flatten().dictionary_encode()
-        distinct = merged.dictionary.to_pylist()
-        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
+        codes = self.codes.of(merged.dictionary)
         self._learn(known)
         of = merged.indices.to_numpy(zero_copy_only=False)
-        self.seen[codes] += np.bincount(of, minlength=len(distinct))
+        self.seen[codes] += np.bincount(of, minlength=len(codes))
         sizes = self.count[codes][of]
         stop = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)

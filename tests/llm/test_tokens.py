@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,16 @@ def test_memo_on_cut_chunks(whole, text):
     assert ids.tolist() == whole(text) + whole(text.upper()) and sizes[1] == 0
 
 
+def test_codes_of_chunks():
+    codes = tokens._Codes()
+    chunks = ["a", "", "nul\x00", "\x00", "é", "e\u0301", "\U0001f600", "a" * 70_000]
+    for given_ in (pa.array(chunks, pa.string()), pa.array(["no", *chunks], pa.string())[1:], pa.array(chunks, pa.string()).dictionary_encode().dictionary):
+        assert codes.of(given_).tolist() == list(range(len(chunks)))
+    assert codes.fresh == chunks == list(codes) and all(type(x) is str for x in codes)
+    assert codes.of(pa.array(["é", "new", "a"], pa.string())).tolist() == [4, len(chunks), 0]
+    assert codes.of(pa.array([], pa.string())).tolist() == []
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1)))
 def test_variable_length_round_trip(values):
